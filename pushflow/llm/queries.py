@@ -5,11 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pushflow.llm import pii, secrets, warc
+from pushflow.llm import ann, decontaminate, minhash, pii, quality, repeats, secrets, warc
 from pushflow.llm.common import table
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    return ann.neighbours(rows, F.col("vec_id") % 100 == 0)
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("text")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with their figures."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("kept")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back; the reader's rows without the payload."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -24,6 +47,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ann": op3_ann,
+    "op4_minhash": op4_minhash,
+    "op5_suffix_array": op5_suffix_array,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_quality": op7_quality,
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
