@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,8 @@ def unpack(body) -> pa.RecordBatch:
     return pa.ipc.open_stream(body).read_next_batch()
 
 
-def packed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """block, n_rows, n_bytes, body, from all columns of docs; text is one of them."""
+def packed(docs: DataFrame, block: int = BLOCK, note: Callable[[pa.RecordBatch], bytes] | None = None) -> DataFrame:
+    """block, n_rows, n_bytes, body, from all columns of docs, of which text is one; and a note on the rows, if asked for."""
 
     def work(batches):
         from pyspark import TaskContext
@@ -44,7 +45,8 @@ def packed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
         def emit():
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | number]), pa.array([rows.num_rows]), pa.array([size]), pa.array([pack(rows)])], names=["block", "n_rows", "n_bytes", "body"])
+            values = [part << 32 | number, rows.num_rows, size, pack(rows), *([note(rows)] if note else [])]
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["block", "n_rows", "n_bytes", "body", "note"][: len(values)])
 
         for batch in slices(batches, most=block):
             more = batch.column(batch.schema.get_field_index("text")).nbytes
@@ -56,7 +58,7 @@ def packed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         if held:
             yield emit()
 
-    return docs.mapInArrow(work, "block long, n_rows long, n_bytes long, body binary")
+    return docs.mapInArrow(work, "block long, n_rows long, n_bytes long, body binary" + (", note binary" if note else ""))
 
 
 def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pushflow.llm import ann, decontaminate, minhash, pii, quality, repeats, secrets, warc
+from pushflow.llm import ann, decontaminate, minhash, pii, quality, repeats, score, secrets, warc
 from pushflow.llm.common import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
     return ann.neighbours(rows, F.col("vec_id") % 100 == 0)
@@ -47,6 +51,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_ann": op3_ann,
     "op4_minhash": op4_minhash,
     "op5_suffix_array": op5_suffix_array,
