@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pushflow.llm import ann, decontaminate, minhash, pii, quality, repeats, score, secrets, warc
+from pushflow.llm import ann, decontaminate, minhash, pieces, pii, quality, repeats, score, secrets, warc
 from pushflow.llm.common import table
 
 
+#: The tokenizer's model file.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, their number, and whether decoding gives the text back."""
+    model = pieces.load(PIECES)
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    space = F.replace("text", F.lit(pieces.SPACE), F.lit(" "))
+    return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(space).alias("round_trip"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.scores(table(spark, sf_dir, "documents"))
 
@@ -51,6 +63,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
     "op3_ann": op3_ann,
     "op4_minhash": op4_minhash,
