@@ -56,7 +56,7 @@ class Places:
         doc = np.searchsorted(self.offsets, at, "right") - 1
         left = np.maximum(self.offsets[doc], at - (DEPTH - ANCHOR))
         right = np.minimum(self.offsets[doc + 1], at + DEPTH)
-        gram = self._hash(at, at + ANCHOR)
+        gram = mix(self._hash(at, at + ANCHOR) + _U(1))  # named grams have small hashes: spread them again
         around = self._hash(left, right) ^ mix((at - left).astype(np.uint64) + _U(1))
         bucket = ((gram >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
         # places of one surrounding together, its smallest doc_id first
@@ -79,9 +79,15 @@ class Places:
         if n < DEPTH:
             return np.zeros(0, np.int64)
         grams = n - ANCHOR + 1
-        start = np.arange(grams)
         low = max(24, n.bit_length())  # the place stands in the low bits, so that ties go to the left
-        key = (self._hash(start, start + ANCHOR) >> _U(low)) << _U(low) | start.astype(np.uint64)
+        key = self.sums[ANCHOR:] - self.sums[:-ANCHOR]
+        key *= powers(_PINV, n + 1)[:grams]
+        key *= _U(0xD6E8FEB86659FD93)
+        key ^= key >> _U(32)
+        key *= _U(0xD6E8FEB86659FD93)
+        key >>= _U(low)
+        key <<= _U(low)
+        key |= np.arange(grams, dtype=np.uint64)
         span, width = 1, DEPTH - ANCHOR + 1
         while 2 * span <= width:
             key = np.minimum(key[: len(key) - span], key[span:])
@@ -192,7 +198,7 @@ _OPEN = "bucket int, block long, entries binary, ids binary, lefts binary, lengt
 def _send_windows(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
     """The surroundings of open entries, for digit 3."""
 
-    def work(key, bodies: pa.Table, told: pa.Table) -> pa.Table:
+    def work(key, bodies, told):
         rows = []
         if bodies.num_rows and told.num_rows:
             p = Places(unpack(bodies["body"][0].as_buffer()), buckets)
