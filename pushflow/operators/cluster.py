@@ -70,5 +70,11 @@ def register(known: DataFrame, given: DataFrame) -> DataFrame:
     return known.unionByName(new.select(known.columns))
 
 
+def overlay(configured: DataFrame, runtime: DataFrame) -> DataFrame:
+    """Configured nodes with the url they run under now, where one is known."""
+    now = runtime.select("id", F.col("url").alias("_url"))
+    return configured.join(now, "id", "left").select("id", F.coalesce("_url", "url").alias("url"))
+
+
 def gossip(views: DataFrame) -> DataFrame:
     return views.groupBy("node").agg(F.max("last_seen_ms").alias("last_seen_ms"))

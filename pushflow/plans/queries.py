@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pushflow.functions import scalars as S
 from pushflow.operators import catalog, cluster, delivery, inspect, lanes, log, resolve, schedule
+from pushflow.sources import frames
 from pushflow.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,21 @@ def log_append(spark, d):
     return _log(spark, d).select("topic", "partition", "log_offset", "message_id")
 
 
+_query("assign_offsets", "SELECT topic, partition, count(*) AS n, max(log_offset) AS last FROM log GROUP BY ALL")(lambda spark, d: _log(spark, d).groupBy("topic", "partition").agg(F.count("*").alias("n"), F.max("log_offset").alias("last")))
+
+
+@_query("frame_codec", "SELECT message_id, payload FROM messages")
+def frame_codec(spark, d):
+    """Each payload through the frame writer and reader."""
+
+    def work(batches):
+        for pdf in batches:
+            back = [next(frames.decode(frames.encode({"id": int(i)}, p.encode()))) for i, p in zip(pdf["message_id"], pdf["payload"], strict=True)]
+            yield pdf.assign(message_id=[h["id"] for h, _, _ in back], payload=[b.decode() for _, b, _ in back])
+
+    return T.messages(spark, d).select("message_id", "payload").mapInPandas(work, "message_id long, payload string")
+
+
 @_query("scan_partition_range", f"{_VISIBLE} SELECT log_offset, message_id FROM visible WHERE topic = 'view' AND partition = 1 AND log_offset >= 20 ORDER BY log_offset LIMIT 50")
 def scan_partition_range(spark, d):
     rows = _log(spark, d)
@@ -486,8 +502,21 @@ _query("parallel_admit")(lambda spark, d: lanes.parallel_starts(_arrivals(spark,
 _query("wfq_score", f"{_ARRIVALS} SELECT message_id, (row_number() OVER (PARTITION BY lane ORDER BY message_id) - 1) * (1000 // (message_id % 7 + 1)) AS score FROM arrivals")(lambda spark, d: lanes.fair_score(_arrivals(spark, d).withColumn("weight", F.col("message_id") % 7 + 1), "lane").select("message_id", "score"))
 _CONTROL = """, control AS (SELECT routing_key AS lane, message_id AS seq, (['pause', 'resume', 'pin', 'unpin', 'reset_rate'])[message_id % 5 + 1] AS action, message_id % 9 AS cap FROM messages)"""
 _query("lane_pause_resume", f"{_CONTROL} SELECT lane, coalesce(arg_max(action = 'pause', seq) FILTER (WHERE action IN ('pause', 'resume')), FALSE) AS paused, max(seq) FILTER (WHERE action = 'reset_rate') AS rate_reset_at FROM control GROUP BY lane")(
-    lambda spark, d: lanes.control_replay(T.messages(spark, d).select(F.col("routing_key").alias("lane"), F.col("message_id").alias("seq"), F.element_at(F.array(*map(F.lit, ("pause", "resume", "pin", "unpin", "reset_rate"))), (F.col("message_id") % 5 + 1).cast("int")).alias("action"), (F.col("message_id") % 9).alias("limit"))).select("lane", "paused", "rate_reset_at")
+    lambda spark, d: lanes.control_replay(_control(spark, d)).select("lane", "paused", "rate_reset_at")
+)
+
+
+def _control(spark, d):
+    i = F.col("message_id")
+    action = F.element_at(F.array(*map(F.lit, ("pause", "resume", "pin", "unpin", "reset_rate"))), (i % 5 + 1).cast("int"))
+    return T.messages(spark, d).select(F.col("routing_key").alias("lane"), i.alias("seq"), action.alias("action"), (i % 9).alias("limit"))
+
+
+_query("pin", f"{_CONTROL} SELECT lane, arg_max_null(CASE WHEN action = 'pin' THEN cap END, seq) FILTER (WHERE action IN ('pin', 'unpin')) AS pinned_limit FROM control GROUP BY lane")(lambda spark, d: lanes.control_replay(_control(spark, d)).select("lane", "pinned_limit"))
+_query("unpin", f"{_CONTROL} SELECT lane FROM control GROUP BY lane HAVING arg_max(action, seq) FILTER (WHERE action IN ('pin', 'unpin')) = 'unpin'")(
+    lambda spark, d: lanes.control_replay(_control(spark, d)).where("pinned_limit is null").join(_control(spark, d).where("action in ('pin', 'unpin')").select("lane").distinct(), "lane", "left_semi").select("lane")
 )
+_query("reset_rate", f"{_CONTROL} SELECT lane, max(seq) FILTER (WHERE action = 'reset_rate') AS rate_reset_at FROM control GROUP BY lane")(lambda spark, d: lanes.control_replay(_control(spark, d)).select("lane", "rate_reset_at"))
 
 
 # ---------------------------------------------------------------- schedules
@@ -627,4 +656,10 @@ _query("membership_register", "SELECT n_name AS name FROM nation WHERE n_nationk
         lambda x: cluster.register(x.where("n_nationkey < 10").select("name", "url"), x.where("n_nationkey >= 10").select("name", F.when(F.col("n_nationkey") < 12, F.col("url")).otherwise(F.concat(F.lit("x"), "n_nationkey")).alias("url")))
     ).select("name")
 )
+_MERGE = ", config AS (SELECT n_nationkey AS id, 'http://' || lower(n_name) AS url FROM nation), runtime AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'http://new' || n_nationkey END AS url FROM nation WHERE n_nationkey % 2 = 0)"
+_query("membership_merge", f"{_MERGE} SELECT id, coalesce(r.url, c.url) AS url FROM config c LEFT JOIN runtime r USING (id)")(
+    lambda spark, d: (n := T.read(spark, d, "nation")).select(F.col("n_nationkey").cast("long").alias("id"), F.concat(F.lit("http://"), F.lower("n_name")).alias("url")).transform(
+        lambda x: cluster.overlay(x, n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("http://new"), "n_nationkey")).alias("url")))
+    )
+)
 _query("membership_remove", "SELECT n_name AS name FROM nation WHERE n_nationkey = 0 OR n_nationkey % 4 <> 0")(lambda spark, d: T.read(spark, d, "nation").where("n_nationkey = 0 or n_nationkey % 4 <> 0").select(F.col("n_name").alias("name")))
