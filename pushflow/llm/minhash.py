@@ -6,11 +6,15 @@ shifted by k, over the set. Rows of a band make a bucket key. Documents that sha
 bucket are candidates; every link is confirmed on the full shingle sets.
 
 No bucket is expanded into all its pairs. Documents with equal sets are one class. In a
-first step each class of a bucket is compared with the bucket's smallest class only; the
-links make components. In a second step those members of a bucket that the smallest
-class's component does not hold are compared with the members of other components, for a
-link between members of one component changes nothing. What is left out are pairs whose
-sizes already rule the link out and pairs inside one component.
+first step each class of a bucket is compared with the bucket's hub only, which is the
+class that stands in most and largest buckets: of a group of copies, the one that the
+others are nearest to. The links make components. In a second step those members of a
+bucket that the hub's component does not hold are compared with the members of other
+components, for a link between members of one component changes nothing. They are joined
+on their rarest shingles, of which two linked sets must share one, early enough for what
+follows to make up the link: exact, and few pairs where a frequent passage fills a bucket.
+What is left out are pairs whose sizes already
+rule the link out and pairs inside one component.
 
 Cases: a text of fewer words than a shingle has its whole sequence as one shingle; null
 and wordless texts have no set and are linked with nothing; rows repeated under one doc_id
@@ -24,7 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pushflow.llm.common import maybe_broadcast, mix, saved, shingles, slices
@@ -113,17 +117,46 @@ def _linked(joined: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "left", "right").mapInArrow(work, "a long, b long")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, tag: str) -> DataFrame:
-    """Confirm pairs of class keys on the sets of one document of each class."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key").select(F.col("rep").alias("doc_id")).distinct()
+def _sets_of(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int, tag: str) -> DataFrame:
+    """keys(key) to key and shingles, from the text of one document of each class."""
+    wanted = keys.join(classes.select("key", "rep"), "key").select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(maybe_broadcast(saved(wanted, f"{tag}-wanted")), "doc_id", "left_semi")
-    # a doc_id may stand for several rows; keys that are not in pairs fall out of the joins
-    sets = _sets(texts, width).groupBy("key").agg(F.first("shingles").alias("shingles"))
+    # a doc_id may stand for several rows; keys that were not asked for fall out of the joins
+    return _sets(texts, width).groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, tag: str) -> DataFrame:
+    """Confirm pairs of class keys on the full sets."""
+    ends = pairs.select(F.col("a").alias("key")).distinct().union(pairs.select(F.col("b").alias("key")).distinct()).distinct()
+    sets = _sets_of(ends, classes, docs, width, tag)
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("right"))
     return saved(_linked(pairs.join(left, "a").join(right, "b"), percent), f"{tag}-links")
 
 
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of each node(node, n, ...) its rarest shingles, as many as a partner must share one of.
+
+    A partner lacks at most n - ceil(percent / 100 * n) of the n shingles, so whatever the
+    order, as long as it is one for all, the first of both sets up to one more than that
+    have one in common. Rare ones first keeps apart what only shares a frequent passage.
+    rank is a shingle's place: of the first common one of a pair, no more than what follows
+    it in the shorter rest can be common.
+    """
+
+    def work(batches):
+        for batch in batches:
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.frombuffer(raw.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), key)), pa.array(values)], names=["node", "shingle"])
+
+    rows = sets.select("key", "shingles").mapInArrow(work, "node long, shingle long").join(nodes, "node")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    return rows.join(often, "shingle").withColumn("rank", rank).where((F.col("rank") <= first) & (F.col("often") > 1)).drop("often")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -133,8 +166,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sketch = saved(_sketch(docs, width, bands, rows), "sketch")
     classes = saved(sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), "n")
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-    shared = saved(members.join(hubs, "bucket"), "buckets")  # members of buckets of two or more
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = saved(members.join(sizes, "bucket"), "buckets")  # members of buckets of two or more
+    weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = shared.join(weights, "node")
+    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    shared = saved(shared.join(hubs, "bucket").drop("size"), "hubs")
     fits = lambda a, b: F.col(a) * 100 >= F.col(b) * percent  # noqa: E731  an intersection is no larger than the smaller set
     stars = saved(shared.where(fits("n", "hub_n") & fits("hub_n", "n") & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = _verify(stars, classes, docs, width, percent, "stars")
@@ -143,10 +180,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     placed = shared.join(part.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").withColumn("part", F.coalesce("component", "node")).drop("node_", "component")
     placed = placed.join(part.select(F.col("node").alias("hub_"), F.col("component").alias("hub_part")), F.col("hub") == F.col("hub_"), "left").withColumn("hub_part", F.coalesce("hub_part", "hub")).drop("hub_")
     placed = saved(placed, "placed")
-    rest = placed.where("part <> hub_part").select("bucket", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("part").alias("x_part"))
-    open_buckets = rest.select("bucket").distinct()
-    others = placed.join(open_buckets, "bucket", "left_semi").where("node <> hub").select("bucket", "node", "n", "part")
-    pairs = others.join(rest, "bucket").where((F.col("part") != F.col("x_part")) & fits("n", "x_n") & fits("x_n", "n"))
+    open_buckets = placed.where("part <> hub_part").select("bucket").distinct()
+    opened = placed.join(open_buckets, "bucket", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.max(F.col("part") != F.col("hub_part")).alias("apart"))
+    opened = saved(opened, "opened")
+    prefixes = saved(_prefixes(opened, _sets_of(opened.select(F.col("node").alias("key")), classes, docs, width, "opened"), percent), "prefixes")
+    rest = prefixes.where("apart").select(F.col("shingle").alias("x_shingle"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("rank").alias("x_rank"), F.col("part").alias("x_part"))
+    common = F.least(F.col("n") - F.col("rank"), F.col("x_n") - F.col("x_rank")) + 1
+    may = (F.col("part") != F.col("x_part")) & fits("n", "x_n") & fits("x_n", "n") & (common * (100 + percent) >= (F.col("n") + F.col("x_n")) * percent)
+    pairs = prefixes.join(rest, (F.col("shingle") == F.col("x_shingle")) & may)
     pairs = saved(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), "pairs")
     pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = links.union(_verify(saved(pairs, "open-pairs"), classes, docs, width, percent, "pairs"))
