@@ -59,8 +59,10 @@ def _build(nfa: _Nfa, tree, start: int, fold: bool) -> int:
     """Add the parsed expression from state start; returns its end state."""
     for op, arg in tree:
         name = str(op)
-        if name in ("LITERAL", "IN"):
-            if name == "IN" and str(arg[0][0]) == "NEGATE":
+        if name in ("LITERAL", "NOT_LITERAL", "IN"):
+            if name == "NOT_LITERAL":
+                codes = set(range(256)) - {arg}
+            elif name == "IN" and str(arg[0][0]) == "NEGATE":
                 codes = set(range(256)).difference(*(_codes(str(o), a) for o, a in arg[1:]))
             else:
                 codes = set().union(*(_codes(str(o), a) for o, a in arg)) if name == "IN" else {arg}

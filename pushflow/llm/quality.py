@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     rate = (n - good) / n
     counts = sample.mapInArrow(count, "word binary, n long, bad long, toxic long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "toxic")))
     # far more often in rejected documents, or in toxic ones, than chance gives
-    score = F.greatest(*((F.col(c) - F.col("n") * r) / F.sqrt(F.col("n") * (r * (1 - r))) for c, r in (("bad", rate), ("toxic", poison / n)) if 0 < r < 1))
+    score = F.greatest(F.lit(0.0), *((F.col(c) - F.col("n") * r) / F.sqrt(F.col("n") * (r * (1 - r))) for c, r in (("bad", rate), ("toxic", poison / n)) if 0 < r < 1))
     chosen = counts.where((F.col("bad") >= SUPPORT) & (F.col("bad") >= F.col("n") * 0.9)).withColumn("score", score).where("score > 5").orderBy(F.desc("score"), "word").limit(WORDS).collect()
     told = {bytes(r.word) for r in chosen}
 
