@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pushflow.llm.common import slices, work_path
+from pushflow.llm.common import freed_shuffles, slices, trim, work_path
 
 #: Bytes of text in a block; a longer text is a block by itself.
 BLOCK = 4 << 20
@@ -31,6 +31,7 @@ def pack(rows: pa.RecordBatch) -> bytes:
 
 
 def unpack(body) -> pa.RecordBatch:
+    trim()  # what the block before has left
     return pa.ipc.open_stream(body).read_next_batch()
 
 
@@ -57,19 +58,27 @@ def packed(docs: DataFrame, block: int = BLOCK, note: Callable[[pa.RecordBatch],
             size += more
         if held:
             yield emit()
+        held = []
+        trim()
 
     return docs.mapInArrow(work, "block long, n_rows long, n_bytes long, body binary" + (", note binary" if note else ""))
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Buckets that bucketed() makes of df."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
+
+
 def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
     """df written as a table bucketed by key, in at least as many buckets as a shuffle has partitions.
 
     Rows go to their bucket's files by a shuffle first, so that there are as many files as buckets.
     """
     spark = df.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
+    buckets = bucket_count(df)
     name = f"pushflow_{tag}_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", work_path(spark, tag)).format("parquet").saveAsTable(name)
+    with freed_shuffles(spark):
+        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", work_path(spark, tag)).format("parquet").saveAsTable(name)
     atexit.register(_drop, spark, name)
     release(spark)
     return spark.table(name)

@@ -4,10 +4,12 @@ Arrow batches and vectorised word hashing."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +64,23 @@ def _delete(spark: SparkSession, root: str) -> None:
         pass
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends: a written table needs them no more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Write and reread: cuts the lineage, so that no later loss of an executor repeats the work above it."""
     path = work_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -79,6 +94,19 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if bounded(df, limit) else df
 
 
+def trim() -> None:
+    """Give memory that Python and Arrow have freed back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
+
+
 # ---------------------------------------------------------------- text in batches
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most about `most` bytes of text, or one row."""

@@ -22,14 +22,14 @@ import numpy as np
 from pushflow.llm.common import _P, _PINV, powers
 
 #: Bytes before, as contexts; the word so far is one more.
-ORDERS = (2, 3, 5)
+ORDERS = (3, 5)
 PREDICTORS = len(ORDERS) + 1
 CONTEXT_BITS, SYMBOLS = 17, 64
 CONTEXTS = 1 << CONTEXT_BITS
 CHUNK = 128
 TOGETHER = 512
 PAD = max(ORDERS)
-#: Log odds are kept in eighths of a bit's natural unit times two.
+#: Log odds are kept as whole sixteenths.
 SCALE = np.float32(16)
 
 _U = np.uint64
@@ -117,10 +117,23 @@ def real(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
 
 
+def portions(texts: list[bytes], most: int = 1 << 20):
+    """Runs of texts of about `most` bytes; what is computed for each byte is large."""
+    run, size = [], 0
+    for x in texts:
+        if run and size + len(x) > most:
+            yield run
+            run, size = [], 0
+        run.append(x)
+        size += len(x)
+    if run:
+        yield run
+
+
 def counted(texts: list[bytes], t: Tree, into: np.ndarray) -> None:
     """Add the texts to the counts of (predictor, context, symbol)."""
-    if texts:
-        data, begin, length = laid_out(texts)
+    for run in portions(texts):
+        data, begin, length = laid_out(run)
         at = real(begin, length)
         symbol = t.symbol[data[at]].astype(np.int32)
         for k, row in enumerate(contexts(data)):
@@ -137,10 +150,14 @@ def odds(counts: np.ndarray, t: Tree) -> np.ndarray:
     return out
 
 
-def score(texts: list[bytes], t: Tree, tables: np.ndarray, weight: float = 0.3, rate: float = 0.004) -> np.ndarray:
-    """Bits that the model takes for each text, its end included."""
-    if not texts:
-        return np.zeros(0)
+def score(texts: list[bytes], t: Tree, tables: np.ndarray, weight: float = 0.4, rate: float = 0.004) -> np.ndarray:
+    """Bits that the model takes for each text, its end included; equal texts are scored once."""
+    own = {x: i for i, x in enumerate(dict.fromkeys(texts))}
+    found = [_scored(run, t, tables, weight, rate) for run in portions(list(own))]
+    return np.concatenate(found)[[own[x] for x in texts]] if found else np.zeros(0)
+
+
+def _scored(texts: list[bytes], t: Tree, tables: np.ndarray, weight: float, rate: float) -> np.ndarray:
     data, begin, length = laid_out(texts)
     symbols = t.symbol[data].astype(np.intp)
     rows = np.stack(contexts(data)) * SYMBOLS + (np.arange(PREDICTORS, dtype=np.int32) * CONTEXTS * SYMBOLS)[:, None]

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Words (units that no piece crosses: a run of spaces with what follows up to the next space
-or line break) are taken once from the whole corpus. Their substrings of at most the
+Words are units that no piece crosses: a run of spaces with what follows up to the next
+space or line break. The commonest are encoded once for all, the others once for each
+block of documents. Their substrings of at most the
 longest piece's length are exploded and equi-joined to the piece table, the edges found
 are grouped by word, and a higher-order aggregate folds each word's edges into its pieces:
 
@@ -12,8 +13,8 @@ bpe: the scores of a byte-pair model are merge ranks, for which the best path is
   each place in the word that is still a boundary.
 
 Characters without piece become the pieces of their bytes. Words of over LONG characters,
-which have no room in the state, are folded by the same rule in Python. Documents get the
-ids of their words back block by block.
+which have no room in the state, are folded by the same rule in Python. Documents meet the
+ids of their words block by block.
 
 Cases: an empty text has no ids, a null text has null ones; decoding gives the text back
 (the model's space sign in a text comes back as a space); rows are encoded each, also
@@ -23,21 +24,25 @@ when they repeat.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from pushflow.llm.blocks import bucketed, packed, release, unpack
-from pushflow.llm.common import saved
+from pushflow.llm.blocks import bucket_count, bucketed, packed, unpack
+from pushflow.llm.common import saved, trim
 
 SPACE = "▁"
 #: Characters of a word that the fold's state has room for: bits 0 to 62 are boundaries.
 LONG = 60
+#: Words that all tasks know, at most, and the blocks they are counted in.
+FREQUENT, FIRST_BLOCKS = 200_000, 16
 _UNITS = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -141,20 +146,21 @@ def piece_table(spark: SparkSession, p: Pieces) -> DataFrame:
 
 
 def lattice(words: DataFrame, p: Pieces) -> DataFrame:
-    """words(word) to word and edges(score, s, e, id), by rank and place; a word without edges has an empty array.
+    """words(.., word), distinct, to the same with edges(rank, s, e, id), by rank and place; no edges: an empty array.
 
-    The piece table is broadcast: the model file bounds it. words are grouped as they come
-    partitioned by word, so the group by word adds no shuffle to that of words.
+    The piece table is broadcast: the model file bounds it. Rows that come partitioned by
+    some of their columns are grouped where they are.
     """
+    keys = words.columns
     spark = words.sparkSession
     n = F.char_length("word")
-    starts = words.select("word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + p.longest, F.col("n")))).alias("e"))
-    spans = spans.select("word", "s", "e", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
+    starts = words.select(*keys, n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select(*keys, "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + p.longest, F.col("n")))).alias("e"))
+    spans = spans.select(*keys, "s", "e", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
     edges = spans.join(F.broadcast(piece_table(spark, p)), "piece", "left")
     edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("rank"), "s", "e", "id"))
     # collect_list leaves nulls out, so a word without any piece keeps its row
-    return edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _bit(i: Column) -> Column:
@@ -221,17 +227,14 @@ def _spelled(bounds: Column, p: Pieces) -> Column:
     return _bound(bounds, lambda b: F.flatten(F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: _ids_between(F.get(b, i - 1), F.get(b, i), p))))
 
 
-def encode_words(words: DataFrame, p: Pieces) -> DataFrame:
-    """words(word), distinct and not empty, to (word, ids)."""
-    short = lattice(words.where(F.char_length("word") <= LONG), p)
-    folded = short.select("word", _spelled(_fold_viterbi(p) if p.fold == "viterbi" else _fold_bpe(), p).alias("ids"))
-    one = encode_viterbi if p.fold == "viterbi" else encode_bpe
+def encode_short(words: DataFrame, p: Pieces) -> DataFrame:
+    """words(.., word), distinct, not empty and of at most LONG characters, with ids."""
+    folded = lattice(words, p)
+    return folded.select(*words.columns, _spelled(_fold_viterbi(p) if p.fold == "viterbi" else _fold_bpe(), p).alias("ids"))
 
-    def work(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(w, p) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
 
-    return folded.unionByName(words.where(F.char_length("word") > LONG).mapInArrow(work, "word string, ids array<int>"))
+def encode_one(word: str, p: Pieces) -> list[int]:
+    return (encode_viterbi if p.fold == "viterbi" else encode_bpe)(word, p)
 
 
 # ---------------------------------------------------------------- documents
@@ -240,42 +243,69 @@ def _texts(body) -> tuple[pa.RecordBatch, list[str | None]]:
     return rows, rows.column(rows.schema.get_field_index("text")).to_pylist()
 
 
+def _frequent(blocks: DataFrame, p: Pieces) -> dict[str, list[int]]:
+    """Ids of the FREQUENT commonest words of the first FIRST_BLOCKS blocks, by the same lattice.
+
+    A cache of bounded size: which words it holds changes where a word is encoded, not how.
+    """
+
+    def count(batches):
+        for batch in batches:
+            for body in batch.column(0):
+                n = Counter(w for t in _texts(body)[1] if t for w in units(t) if len(w) <= LONG)
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+        trim()
+
+    first = blocks.select("block").orderBy("block").limit(FIRST_BLOCKS)
+    words = blocks.join(F.broadcast(first), "block", "left_semi").select("body").mapInArrow(count, "word string, n long")
+    top = saved(words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word"), "frequent-words")
+    return {r.word: r.ids for r in encode_short(top.repartition("word"), p).toLocalIterator()}
+
+
 def encode(docs: DataFrame, p: Pieces) -> DataFrame:
-    """docs(text, ...) with a column ids added, array<int>."""
+    """docs(text, ...) with a column ids added, array<int>.
+
+    A block sends its distinct words but for the commonest ones, which all tasks know. They
+    go to their block's partition in one shuffle, and the lattice, the fold and the meeting
+    with the block's texts all happen there.
+    """
     spark = docs.sparkSession
-    blocks = bucketed(packed(docs), "block", "pieces")
+    bodies = packed(docs)
+    blocks, parts = bucketed(bodies, "block", "pieces"), bucket_count(bodies)
+    frequent = spark.sparkContext.broadcast(_frequent(blocks, p))
 
     def distinct(batches):
+        common = frequent.value
         for batch in batches:
             for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, texts = _texts(body)
                 found: dict[str, None] = {}
-                for t in texts:
+                for t in _texts(body)[1]:
                     if t:
-                        found.update(dict.fromkeys(units(t)))
+                        found.update(dict.fromkeys(w for w in units(t) if w not in common and len(w) <= LONG))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found, pa.string())], names=["block", "word"])
+        trim()
 
-    words = saved(blocks.select("block", "body").mapInArrow(distinct, "block long, word string"), "block-words")
-    known = saved(encode_words(words.select("word").distinct(), p), "known-words")
-    release(spark)
-    told = words.join(known, "word").select("block", "word", "ids")
+    words = blocks.select("block", "body").mapInArrow(distinct, "block long, word string").repartition(parts, "block")
     schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))])
 
     def work(bodies, own):
-        place = dict(zip(own["word"].to_pylist(), range(own.num_rows), strict=True))
-        ids = own["ids"].combine_chunks()
+        common = frequent.value
+        known = dict(zip(own["word"].to_pylist(), own["ids"].combine_chunks(), strict=True))
         out = []
         for body in bodies["body"]:
             rows, texts = _texts(body)
-            at = [[place[w] for w in units(t)] if t else [] for t in texts]
-            ends = np.concatenate([[0], np.cumsum([len(a) for a in at])])
-            flat = ids.take(pa.array(np.concatenate([np.array(a, np.int64) for a in at]) if len(at) else np.zeros(0, np.int64)))
-            size = np.concatenate([[0], np.cumsum(np.asarray(flat.value_lengths()))])[ends] if len(flat) else np.zeros(len(at) + 1, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), flat.flatten(), mask=pa.array([t is None for t in texts]))
+            place: dict[str, int] = {}  # of each word its number, in order of first use
+            at = [[place.setdefault(w, len(place)) for w in units(t)] if t else [] for t in texts]
+            each = [common[w] if w in common else known[w].as_py() if w in known else encode_one(w, p) for w in place]
+            size = np.array([len(x) for x in each], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(itertools.chain.from_iterable(each), pa.int32()))
+            flat = np.concatenate([np.array(a, np.int64) for a in at])
+            ends = np.concatenate([[0], np.cumsum(size[flat] if len(size) else [])])[np.concatenate([[0], np.cumsum([len(a) for a in at])])]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.take(pa.array(flat)).flatten(), mask=pa.array([t is None for t in texts]))
             out.append(pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, "ids"]))
         return pa.Table.from_batches(out)
 
-    return blocks.select("block", "body").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(work, schema)
+    return blocks.select("block", "body").groupBy("block").cogroup(encode_short(words, p).groupBy("block")).applyInArrow(work, schema)
 
 
 def decode_ids(ids: list[int], names: dict[int, str], byte: int) -> str:
@@ -294,4 +324,4 @@ def decode(docs: DataFrame, p: Pieces, column: str = "ids") -> DataFrame:
             texts = [None if x is None else decode_ids(x, names, p.byte) for x in batch.column(place).to_pylist()]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
-    return docs.mapInArrow(work, docs.withColumn("decoded", F.lit("")).schema)
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("decoded", StringType())]))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pushflow.llm import mixing
 from pushflow.llm.blocks import bucketed, packed, release, unpack
-from pushflow.llm.common import saved
+from pushflow.llm.common import saved, trim
 
 #: Partial tables that one task sums.
 FAN = 32
@@ -95,6 +95,8 @@ def _gathered(blocks: DataFrame, t: mixing.Tree) -> DataFrame:
         for k in range(mixing.PREDICTORS):
             for s, c in enumerate(np.split(total[k], SLICES)):
                 yield _both(part=(k, s, part, zip_.compress(c.tobytes())))
+        del total
+        trim()
 
     return blocks.select("block", "body").mapInArrow(work, f"block long, word binary, n long, {_PART}")
 
@@ -144,10 +146,10 @@ def scores(docs: DataFrame) -> DataFrame:
     t = mixing.tree(_histogram(blocks))
     gathered = saved(_gathered(blocks, t), "gathered")
     parts = gathered.where("counts is not null").select("predictor", "slice", "part", "counts")
-    tables = spark.sparkContext.broadcast(_tables(parts, blocks.rdd.getNumPartitions(), t))
+    tables = spark.sparkContext.broadcast(_tables(parts, int(parts.agg(F.max("part")).first()[0] or 0) + 1, t))
     word = Window.partitionBy("word")
     words = gathered.where("word is not null").select("block", "word", "n")
-    known = words.withColumn("c", F.sum("n").over(word)).withColumn("once", F.row_number().over(word.orderBy("block")) == 1)
+    known = words.withColumn("c", F.sum("n").over(word)).withColumn("once", F.min("block").over(word) == F.col("block"))
     known = saved(known.select("block", "word", "c", "once"), "known")
     release(spark)
     # the end token counts once for each training document
