@@ -34,7 +34,11 @@ SCALE = np.float32(16)
 
 _U = np.uint64
 _END = 10
-BIT = float(1 / np.log(2))
+#: Mixed log odds are squashed in steps of one over FINE, up to 20 either way.
+FINE = 64
+SPAN = 20 * FINE
+_RIGHT = (1 / (1 + np.exp(-np.arange(-SPAN, SPAN + 1) / FINE))).astype(np.float32)
+_COST = np.log2(1 / (1 + np.exp(-np.arange(-SPAN, SPAN + 1) / FINE)))
 
 
 @dataclass
@@ -137,7 +141,7 @@ def counted(texts: list[bytes], t: Tree, into: np.ndarray) -> None:
         at = real(begin, length)
         symbol = t.symbol[data[at]].astype(np.int32)
         for k, row in enumerate(contexts(data)):
-            into[k] += np.bincount(row[at] * SYMBOLS + symbol, minlength=CONTEXTS * SYMBOLS).astype(np.int32)
+            np.add.at(into[k], row[at] * SYMBOLS + symbol, np.int32(1))
 
 
 def odds(counts: np.ndarray, t: Tree) -> np.ndarray:
@@ -153,7 +157,7 @@ def odds(counts: np.ndarray, t: Tree) -> np.ndarray:
 def score(texts: list[bytes], t: Tree, tables: np.ndarray, weight: float = 0.4, rate: float = 0.004) -> np.ndarray:
     """Bits that the model takes for each text, its end included; equal texts are scored once."""
     own = {x: i for i, x in enumerate(dict.fromkeys(texts))}
-    found = [_scored(run, t, tables, weight, rate) for run in portions(list(own))]
+    found = [_scored(run, t, tables, weight, rate) for run in portions(list(own), 2 << 20)]
     return np.concatenate(found)[[own[x] for x in texts]] if found else np.zeros(0)
 
 
@@ -201,9 +205,11 @@ def _together(symbols, rows, begin, length, t: Tree, tables, weight: float, rate
             total = np.einsum("kn,kn->n", said, np.repeat(w, count, axis=1))
             way = sign[d].take(s)  # +1 for a one, -1 for a zero
             total *= way
-            np.clip(total, -20, 20, out=total)
-            right = 1 / (1 + np.exp(-total))  # probability of the bit that came
-            bits[text] -= np.add.reduceat(np.log(right), first) * BIT
+            total *= FINE
+            place = np.rint(np.clip(total, -SPAN, SPAN, out=total), out=total).astype(np.intp)
+            place += SPAN
+            right = _RIGHT.take(place)  # probability of the bit that came
+            bits[text] -= np.add.reduceat(_COST.take(place), first)
             said *= (1 - right) * way * learn
             weights[d][:, text] = w + np.add.reduceat(said, first, axis=1)
     return bits
