@@ -64,18 +64,18 @@ def packed(docs: DataFrame, block: int = BLOCK, note: Callable[[pa.RecordBatch],
     return docs.mapInArrow(work, "block long, n_rows long, n_bytes long, body binary" + (", note binary" if note else ""))
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Buckets that bucketed() makes of df."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
+def bucket_count(df: DataFrame, split: int = 2) -> int:
+    """Buckets that bucketed() makes of df: `split` for each of its partitions, or as many as a shuffle has."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), split * df.rdd.getNumPartitions())
 
 
-def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, tag: str, split: int = 2) -> DataFrame:
     """df written as a table bucketed by key, in at least as many buckets as a shuffle has partitions.
 
     Rows go to their bucket's files by a shuffle first, so that there are as many files as buckets.
     """
     spark = df.sparkSession
-    buckets = bucket_count(df)
+    buckets = bucket_count(df, split)
     name = f"pushflow_{tag}_{uuid.uuid4().hex}"
     with freed_shuffles(spark):
         df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", work_path(spark, tag)).format("parquet").saveAsTable(name)

@@ -271,7 +271,8 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
     """
     spark = docs.sparkSession
     bodies = packed(docs)
-    blocks, parts = bucketed(bodies, "block", "pieces"), bucket_count(bodies)
+    # about a block in a bucket: the edges of its words are sorted in memory
+    blocks, parts = bucketed(bodies, "block", "pieces", 8), bucket_count(bodies, 8)
     frequent = spark.sparkContext.broadcast(_frequent(blocks, p))
 
     def distinct(batches):
