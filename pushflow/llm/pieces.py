@@ -42,7 +42,7 @@ SPACE = "▁"
 #: Characters of a word that the fold's state has room for: bits 0 to 62 are boundaries.
 LONG = 60
 #: Words that all tasks know, at most, and the blocks they are counted in.
-FREQUENT, FIRST_BLOCKS = 200_000, 16
+FREQUENT, FIRST_BLOCKS = 60_000, 16
 _UNITS = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
