@@ -95,7 +95,8 @@ _RULES = re.compile(
     |(?P<digits>(?<![^\W_])(?:{_WORD})(?:[\s-]{{1,2}}(?:{_WORD}))+(?![^\W_]))""",
     re.X | re.I,
 )
-_HINT = re.compile(rf"[{_ODD}]|[\[({{<]\s?(?:at|dot|@|\.)\s?[\])}}>]|\sdot\s|(?<![a-z])(?:{_WORD})[\s-]{{1,2}}(?:{_WORD})(?![a-z])", re.I)
+#: Accepts every text that _RULES can rewrite.
+_HINT = re.compile(rf"[{_ODD}]|[\[({{<]\s?(?:at|dot|@|\.)\s?[\])}}>]|\sdot\s|(?<![^\W_])plus\s{{1,3}}(?:{_WORD}|[0-9])(?![a-z])|(?<![a-z])(?:{_WORD})[\s-]{{1,2}}(?:{_WORD})(?![a-z])", re.I)
 _SPLIT = re.compile(r"[\s-]+")
 
 

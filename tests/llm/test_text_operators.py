@@ -80,6 +80,23 @@ def test_pii_disguises(text, kind, part):
     assert part not in pii.redact(text)
 
 
+def test_pii_plus_before_digits():
+    """A spelled plus is rewritten whatever else stands in the text."""
+    text = "call plus 44 20 7946 0958 now"
+    assert pii.find(text) == ([], [(3, 5, 25)])
+    assert pii.find(f"{text}\u00a0")[1] == [(3, 5, 25)]
+    assert pii.redact(text) == "call [PHONE] now"
+    assert pii.find("surplus 44 20 7946 0958, plus 4x") == ([], [])
+
+
+def test_pii_prefilter_accepts_what_rules_rewrite():
+    rng = random.Random(7)
+    bits = ["plus", "Plus", "one", "two", "oh", "at", "dot", "DOT", "@", ".", "[", "]", "(", ")", " ", " ", "  ", "-", "_", "4", "44", "x", "é", "\n", "０"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        assert pii._HINT.search(text) or not pii._RULES.search(text), text
+
+
 def test_pii_clean_and_odd(spark):
     assert pii.find("meet me at noon, the dot on the map; one two three") == ([], [])
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a@b.co"), (2, "a@b.co"), (5, "9" * 300_000), (6, "a" * 300_000 + "@")], "doc_id long, text string")
