@@ -14,6 +14,15 @@ def delayed_release(rows: DataFrame, now_ms: Column) -> DataFrame:
     return rows.where(F.col("deliver_at_ms") <= now_ms)
 
 
+def delayed_order(rows: DataFrame) -> DataFrame:
+    """rows(message_id, deliver_at_ms): the place of every row in order of delivery, from 1 on; message_id breaks ties.
+
+    A range-partitioned sort, whose partitions are counted and then numbered each from its own offset.
+    """
+    order = rows.orderBy("deliver_at_ms", "message_id").select("message_id").rdd.zipWithIndex()
+    return rows.sparkSession.createDataFrame(order.map(lambda x: (x[0][0], x[1] + 1)), "message_id long, place long")
+
+
 def interval_tick(jobs: DataFrame, now_ms: int) -> DataFrame:
     """jobs(next_run_ms, every_seconds, paused): due ones fire once, whatever they missed, and go on from now."""
     due = ~F.col("paused") & (F.col("next_run_ms") <= now_ms)

@@ -526,6 +526,9 @@ _query("delayed_release", "SELECT message_id FROM messages WHERE published_at_ms
 _query("delayed_order", "SELECT message_id, row_number() OVER (ORDER BY published_at_ms + delay_ms, message_id) AS place FROM messages WHERE delay_ms IS NOT NULL ORDER BY place LIMIT 100")(
     lambda spark, d: (top := T.messages(spark, d).where("delay_ms is not null").withColumn("at", F.col("published_at_ms") + F.col("delay_ms")).orderBy("at", "message_id").limit(100)).select("message_id", F.row_number().over(log.Window.orderBy("at", "message_id")).cast("long").alias("place"))
 )
+_query("delayed_order_all", "SELECT message_id, row_number() OVER (ORDER BY published_at_ms + delay_ms, message_id) AS place FROM messages WHERE delay_ms IS NOT NULL")(
+    lambda spark, d: schedule.delayed_order(T.messages(spark, d).where("delay_ms is not null").withColumn("deliver_at_ms", F.col("published_at_ms") + F.col("delay_ms")))
+)
 _query("delayed_cancel", "SELECT message_id FROM messages WHERE delay_ms IS NOT NULL AND message_id % 12 <> 0")(lambda spark, d: T.messages(spark, d).where("delay_ms is not null").join(T.messages(spark, d).where("message_id % 12 = 0").select("message_id"), "message_id", "left_anti").select("message_id"))
 
 

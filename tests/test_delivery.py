@@ -28,6 +28,14 @@ def test_backoff(spark):
     assert [r.d for r in df.collect()] == [1000, 2000, 4000, 8000, 16000, 30000, 30000]
 
 
+def test_delayed_order_places_every_message(spark):
+    at = lambda i: i * 7919 % 251
+    df = spark.range(1000).repartition(7).select(F.col("id").alias("message_id"), (F.col("id") * 7919 % 251).alias("deliver_at_ms"))
+    want = sorted(range(1000), key=lambda i: (at(i), i))
+    assert rows(schedule.delayed_order(df), "place", "message_id") == [(n + 1, i) for n, i in enumerate(want)]
+    assert schedule.delayed_order(df.limit(0)).count() == 0
+
+
 def test_cursor(spark):
     df = spark.createDataFrame([("t", 0, o) for o in (0, 1, 2, 4, 5)] + [("t", 1, 3)], "topic string, partition long, log_offset long")
     assert rows(log.dispatch_cursor(df)) == [("t", 0, 3), ("t", 1, 0)]
