@@ -5,9 +5,11 @@ The commonest bytes of the training texts are symbols of their own and the other
 escape, after which each is equally likely; a symbol is a walk down the Huffman tree of
 the symbols, and every step of the walk is one bit to predict.
 
-Each predictor hashes another context (the bytes before, or the word so far) to one of
-CONTEXTS rows and says, for each node of the tree, the log odds of a one, from counts in
-the training texts. The log odds are weighted, summed and squashed. Weights are gated: the
+Each predictor takes another context (the bytes before, or the word so far) and says, for
+each node of the tree, the log odds of a one, from the context's counts in the training
+texts. Contexts are kept apart by 64-bit keys, which for the bytes before are one to one, so
+what is counted grows with the texts; small tables of CONTEXTS rows a predictor, in which
+contexts may collide, serve where keys are not given. The log odds are weighted, summed and squashed. Weights are gated: the
 step's depth in the tree picks the set. They begin equal and are refined, text by text, by
 the gradient of the coding cost, after every CHUNK bytes.
 """
@@ -15,11 +17,14 @@ the gradient of the coding cost, after every CHUNK bytes.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from pushflow.llm.common import _P, _PINV, powers
+from pushflow.llm.common import _P, _PINV, mix, powers
 
 #: Bytes before, as contexts; the word so far is one more.
 ORDERS = (3, 5)
@@ -88,32 +93,26 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, np.cumsum(length + PAD) - length, length
 
 
-def _row(x: np.ndarray) -> np.ndarray:
-    """Multiplicative hashing; x is fresh."""
-    x *= _U(0x9E6C63D0876A9A35)
-    x ^= x >> _U(29)
-    x *= _U(0xD1342543DE82EF95)
-    x >>= _U(64 - CONTEXT_BITS)
-    return x.astype(np.int32)
+def _row(key: np.ndarray) -> np.ndarray:
+    """Rows of keys in a table of CONTEXTS rows."""
+    return (key >> _U(64 - CONTEXT_BITS)).astype(np.int32)
 
 
-def contexts(data: np.ndarray) -> list[np.ndarray]:
-    """For each predictor the row of every byte's context; the first PAD bytes are of no use."""
+def contexts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """For each predictor the key of every byte's context; the first PAD bytes are of no use."""
     n = len(data)
     wide = data.astype(np.uint64)
     before = np.zeros(n, np.uint64)  # the bytes before, the last one lowest
-    out = []
     for k in range(1, PAD + 1):
         before[k:] |= wide[: n - k] << _U(8 * (k - 1))
         if k in ORDERS:
-            out.append(before.astype(np.int32) if k <= 2 else _row(before * _U(2) + _U(1)))
+            yield mix(before | _U(k << 8 * PAD))
     breaks = (data == 32) | (data == _END)
     start = np.zeros(n, np.int64)
     start[1:] = np.maximum.accumulate(np.where(breaks, np.arange(1, n + 1), 0))[:-1]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((wide + _U(1)) * powers(_P, n + 1)[:n], out=total[1:])
-    out.append(_row((total[:n] - total[start]) * powers(_PINV, n + 1)[start] + _U(3)))
-    return out
+    yield mix((total[:n] - total[start]) * powers(_PINV, n + 1)[start] + _U(3))
 
 
 def real(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -140,31 +139,105 @@ def counted(texts: list[bytes], t: Tree, into: np.ndarray) -> None:
         data, begin, length = laid_out(run)
         at = real(begin, length)
         symbol = t.symbol[data[at]].astype(np.int32)
-        for k, row in enumerate(contexts(data)):
-            np.add.at(into[k], row[at] * SYMBOLS + symbol, np.int32(1))
+        for k, key in enumerate(contexts(data)):
+            np.add.at(into[k], _row(key)[at] * SYMBOLS + symbol, np.int32(1))
+
+
+#: Distinct keys in order; place of a key times SYMBOLS plus a symbol, in order; how often they met.
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def met(texts: list[bytes], trained: list[bool], t: Tree) -> Counts:
+    """The keys of all texts, with the counts of those that are trained on."""
+    parts = []
+    for learn in (True, False):
+        for run in portions([x for x, y in zip(texts, trained, strict=True) if y == learn]):
+            data, begin, length = laid_out(run)
+            at = real(begin, length)
+            symbol = t.symbol[data[at]]
+            for key in contexts(data):
+                code = pa.array(key[at]).dictionary_encode()
+                own = code.dictionary.to_numpy()
+                order = np.argsort(own)
+                pairs = n = np.zeros(0, np.int64)
+                if learn:
+                    place = np.empty(len(own), np.int64)
+                    place[order] = np.arange(len(own))
+                    seen = pc.value_counts(pa.array(place.take(code.indices.to_numpy()) * SYMBOLS + symbol))
+                    pairs, n = seen.field(0).to_numpy(), seen.field(1).to_numpy()
+                parts.append((own[order], pairs, n))
+    return merged(parts)
+
+
+def merged(parts: list[Counts]) -> Counts:
+    """The sum of some counts."""
+    keys = np.unique(np.concatenate([k for k, _, _ in parts]))
+    pairs = np.concatenate([np.searchsorted(keys, k).take(p // SYMBOLS) * SYMBOLS + p % SYMBOLS for k, p, _ in parts])
+    order = np.argsort(pairs, kind="stable")
+    pairs, n = pairs[order], np.concatenate([n for _, _, n in parts])[order]
+    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
+    return keys, pairs[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def chosen(counts: Counts, keys: np.ndarray) -> Counts:
+    """The counts of some of the keys, in order."""
+    at = np.searchsorted(counts[0], keys)
+    first = np.searchsorted(counts[1], at * SYMBOLS)
+    size = np.searchsorted(counts[1], (at + 1) * SYMBOLS) - first
+    take = real(first, size)
+    return keys, np.repeat(np.arange(len(keys)), size) * SYMBOLS + counts[1][take] % SYMBOLS, counts[2][take]
+
+
+def said_by(counts: Counts, t: Tree, few: int = 1 << 13) -> np.ndarray:
+    """Scaled log odds of (key, node), for some keys at a time."""
+    keys, pairs, n = counts
+    out = np.zeros(len(keys) * SYMBOLS, np.int8)
+    for i in range(0, len(keys), few):
+        m = min(few, len(keys) - i)
+        lo, hi = np.searchsorted(pairs, [i * SYMBOLS, (i + m) * SYMBOLS])
+        if lo < hi:
+            own = np.zeros(m * SYMBOLS)
+            own[pairs[lo:hi] - i * SYMBOLS] = n[lo:hi]
+            out[i * SYMBOLS : (i + m) * SYMBOLS] = odds(own, t).ravel()
+    return out
 
 
 def odds(counts: np.ndarray, t: Tree) -> np.ndarray:
     """Counts of (context, symbol) to scaled log odds of (context, node)."""
-    counts = counts.reshape(-1, SYMBOLS).astype(np.float64)
-    out = np.zeros(counts.shape, np.int8)
+    counts = counts.reshape(-1, SYMBOLS).T.astype(np.float64, order="C")
+    out = np.zeros(counts.shape[::-1], np.int8)
     for node, (zero, one) in enumerate(t.children):
-        z, o = counts[:, zero].sum(1), counts[:, one].sum(1)
+        z, o = counts[zero].sum(0), counts[one].sum(0)
         out[:, node] = np.clip(np.rint(np.log((o + 0.4) / (z + 0.4)) * SCALE), -127, 127)
     return out
 
 
-def score(texts: list[bytes], t: Tree, tables: np.ndarray, weight: float = 0.4, rate: float = 0.004) -> np.ndarray:
-    """Bits that the model takes for each text, its end included; equal texts are scored once."""
+def score(texts: list[bytes], t: Tree, tables: np.ndarray, weight: float = 0.4, rate: float = 0.004, keys: np.ndarray | None = None) -> np.ndarray:
+    """Bits that the model takes for each text, its end included; equal texts are scored once.
+
+    With keys, which hold all the texts' own, tables have a row for each; else CONTEXTS rows for each predictor.
+    """
     own = {x: i for i, x in enumerate(dict.fromkeys(texts))}
-    found = [_scored(run, t, tables, weight, rate) for run in portions(list(own), 2 << 20)]
+    found = [_scored(run, t, tables, weight, rate, keys) for run in portions(list(own), 2 << 20)]
     return np.concatenate(found)[[own[x] for x in texts]] if found else np.zeros(0)
 
 
-def _scored(texts: list[bytes], t: Tree, tables: np.ndarray, weight: float, rate: float) -> np.ndarray:
+def _places(data: np.ndarray, keys: np.ndarray | None) -> np.ndarray:
+    """For each predictor where the row of every byte's context begins in the tables."""
+    if keys is None:
+        return np.stack([_row(x) for x in contexts(data)]) * SYMBOLS + (np.arange(PREDICTORS, dtype=np.int32) * CONTEXTS * SYMBOLS)[:, None]
+    out = np.empty((PREDICTORS, len(data)), np.int32 if len(keys) * SYMBOLS < 1 << 31 else np.int64)
+    for k, x in enumerate(contexts(data)):
+        code = pa.array(x).dictionary_encode()
+        place = np.minimum(np.searchsorted(keys, code.dictionary.to_numpy()), len(keys) - 1) * SYMBOLS
+        out[k] = place.astype(out.dtype).take(code.indices.to_numpy())
+    return out
+
+
+def _scored(texts: list[bytes], t: Tree, tables: np.ndarray, weight: float, rate: float, keys: np.ndarray | None) -> np.ndarray:
     data, begin, length = laid_out(texts)
     symbols = t.symbol[data].astype(np.intp)
-    rows = np.stack(contexts(data)) * SYMBOLS + (np.arange(PREDICTORS, dtype=np.int32) * CONTEXTS * SYMBOLS)[:, None]
+    rows = _places(data, keys)
     order = np.argsort(-length, kind="stable")
     out = np.empty(len(texts))
     # few texts at a time, so that the table lines of a step stay in the cache from one depth to the next

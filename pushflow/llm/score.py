@@ -1,9 +1,10 @@
 """Language-model scores: a unigram base over the whole corpus and the context-mixing model.
 
 Both learn from the documents that are not held out and score all. Token counts are summed
-over the corpus, and each block of documents gets the counts of its own words back; the
-model's tables have a fixed size (PREDICTORS * CONTEXTS * SYMBOLS counts), are summed in
-rounds of FAN at most and broadcast.
+over the corpus, and each block of documents gets the counts of its own words back. So it
+does with the model's contexts: a block names its contexts and their counts, cut by key into
+spans; a span's counts are summed over the corpus, and each block gets those of its own
+contexts back. Nothing of the model but its tree is broadcast, and no table has a fixed size.
 
 Cases: a null or empty text has the end token only; without training documents the base
 gives each token probability 1 and the model half a bit's worth to each bit; a null doc_id
@@ -17,6 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +27,8 @@ from pushflow.llm import mixing
 from pushflow.llm.blocks import bucketed, packed, release, unpack
 from pushflow.llm.common import saved, trim
 
-#: Partial tables that one task sums.
-FAN = 32
-SLICES = 16
+#: Spans of the keys are 2**SPAN_BITS for each FULL bytes of training text.
+SPAN_BITS, FULL = 9, 1 << 35
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -61,27 +62,40 @@ def _histogram(blocks: DataFrame) -> np.ndarray:
     return out
 
 
-_PART = "predictor int, slice int, part long, counts binary"
+def _sealed(counts: mixing.Counts) -> bytes:
+    keys, pairs, n = counts
+    head = np.array([len(keys), len(pairs)], np.int64)
+    return zstandard.compress(b"".join([head.tobytes(), keys.tobytes(), np.diff(pairs, prepend=0).astype(np.uint32).tobytes(), n.astype(np.int64).tobytes()]), 1)
 
 
-def _part(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["predictor", "slice", "part", "counts"])
+def _opened(seal) -> mixing.Counts:
+    raw = zstandard.decompress(seal.as_buffer())
+    k, p = np.frombuffer(raw, np.int64, 2).tolist()
+    return np.frombuffer(raw, np.uint64, k, 16), np.cumsum(np.frombuffer(raw, np.uint32, p, 16 + 8 * k), dtype=np.int64), np.frombuffer(raw, np.int64, p, 16 + 8 * k + 4 * p)
 
 
-def _gathered(blocks: DataFrame, t: mixing.Tree) -> DataFrame:
+def _spans(counts: mixing.Counts, bits: int):
+    """(span, sealed counts) of the spans that hold keys."""
+    keys, pairs, n = counts
+    span = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(span, prepend=-1))
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+        lo, hi = np.searchsorted(pairs, [i * mixing.SYMBOLS, j * mixing.SYMBOLS])
+        yield int(span[i]), _sealed((keys[i:j], pairs[lo:hi] - i * mixing.SYMBOLS, n[lo:hi]))
+
+
+def _gathered(blocks: DataFrame, t: mixing.Tree, bits: int) -> DataFrame:
     """One pass over the blocks: (block, word, n), how often the block's training documents have each of its
-    words, and each task's part of the predictors' counts."""
+    words, and (block, span, counts), the same of its contexts."""
 
     def work(batches):
-        from pyspark import TaskContext
-
-        total = np.zeros((mixing.PREDICTORS, mixing.CONTEXTS * mixing.SYMBOLS), np.int32)
         for batch in batches:
             for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids, tokens = _tokens(body)
                 trained = [not held_out(i) for i in ids]
-                mixing.counted([b" ".join(x) for x, y in zip(tokens, trained, strict=True) if y], t, total)
+                spans = list(_spans(mixing.met([b" ".join(x) for x in tokens], trained, t), bits))
+                yield _both(block, spans=list(zip(*spans, strict=True)))
+                del spans
                 count: Counter = Counter()
                 for words, y in zip(tokens, trained, strict=True):
                     if y:
@@ -90,48 +104,32 @@ def _gathered(blocks: DataFrame, t: mixing.Tree) -> DataFrame:
                     if not y:
                         for w in words:
                             count.setdefault(w, 0)
-                yield _both(words=(np.full(len(count), block), count))
-        part, zip_ = TaskContext.get().partitionId(), zstandard.ZstdCompressor(1)
-        for k in range(mixing.PREDICTORS):
-            for s, c in enumerate(np.split(total[k], SLICES)):
-                yield _both(part=(k, s, part, zip_.compress(c.tobytes())))
-        del total
+                yield _both(block, words=count)
         trim()
 
-    return blocks.select("block", "body").mapInArrow(work, f"block long, word binary, n long, {_PART}")
+    return blocks.select("block", "body").mapInArrow(work, "block long, word binary, n long, span int, counts binary")
 
 
-def _both(words=None, part=None) -> pa.RecordBatch:
-    kinds = {"block": pa.int64(), "word": pa.binary(), "n": pa.int64(), "predictor": pa.int32(), "slice": pa.int32(), "part": pa.int64(), "counts": pa.binary()}
-    if words:
-        own = [pa.array(words[0]), pa.array(words[1], pa.binary()), pa.array(words[1].values(), pa.int64())]
-        own += [pa.nulls(len(words[0]), k) for k in list(kinds.values())[3:]]
+def _both(block: int, words: Counter | None = None, spans: list | None = None) -> pa.RecordBatch:
+    size = len(spans[0] if words is None else words)
+    own = [pa.nulls(size, k) for k in (pa.binary(), pa.int64(), pa.int32(), pa.binary())]
+    if words is None:
+        own[2:] = pa.array(spans[0], pa.int32()), pa.array(spans[1], pa.binary())
     else:
-        own = [pa.nulls(1, k) for k in list(kinds.values())[:3]] + [pa.array([v], k) for v, k in zip(part, list(kinds.values())[3:], strict=True)]
-    return pa.RecordBatch.from_arrays(own, names=list(kinds))
+        own[:2] = pa.array(words, pa.binary()), pa.array(words.values(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, block, np.int64)), *own], names=["block", "word", "n", "span", "counts"])
 
 
-def _tables(parts: DataFrame, n: int, t: mixing.Tree) -> np.ndarray:
-    """The predictors' log odds, from the n tasks' parts of the counts."""
+def _answered(parts: DataFrame) -> DataFrame:
+    """parts(block, span, counts) with the counts that the whole corpus has of the same contexts."""
 
-    def add(key, rows):
-        total = sum(np.frombuffer(zstandard.decompress(x.as_buffer()), np.int32).astype(np.int64) for x in rows["counts"])
-        return _part([(key[0].as_py(), key[1].as_py(), key[2].as_py(), zstandard.ZstdCompressor(1).compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()))])
-
-    def say(batches):
-        for batch in batches:
-            for k, s, x in zip(*(batch.column(i) for i in (0, 1, 3)), strict=True):
-                yield _part([(k.as_py(), s.as_py(), 0, mixing.odds(np.frombuffer(zstandard.decompress(x.as_buffer()), np.int32), t).tobytes())]).combine_chunks().to_batches()[0]
+    def work(rows: pa.Table) -> pa.Table:
+        parts = [_opened(x) for x in rows["counts"]]
+        total = mixing.merged(parts)
+        seals = [_sealed(mixing.chosen(total, keys)) for keys, _, _ in parts]
+        return pa.table([rows["block"], rows["span"], pa.array(seals, pa.binary())], names=["block", "span", "counts"])
 
-    while True:
-        parts = parts.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("predictor", "slice", "part").applyInArrow(add, _PART)
-        n = -(-n // FAN)
-        if n <= 1:
-            break
-    tables = np.zeros((mixing.PREDICTORS, SLICES, mixing.CONTEXTS * mixing.SYMBOLS // SLICES), np.int8)
-    for r in parts.mapInArrow(say, _PART).toLocalIterator():
-        tables[r.predictor, r.slice] = np.frombuffer(r.counts, np.int8)
-    return tables.ravel()
+    return parts.groupBy("span").applyInArrow(work, "block long, span int, counts binary")
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
@@ -143,10 +141,10 @@ def scores(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     trained = int(docs.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))).count())
     blocks = bucketed(packed(docs, note=_trained_bytes), "block", "scored")
-    t = mixing.tree(_histogram(blocks))
-    gathered = saved(_gathered(blocks, t), "gathered")
-    parts = gathered.where("counts is not null").select("predictor", "slice", "part", "counts")
-    tables = spark.sparkContext.broadcast(_tables(parts, int(parts.agg(F.max("part")).first()[0] or 0) + 1, t))
+    histogram = _histogram(blocks)
+    t = mixing.tree(histogram)
+    gathered = saved(_gathered(blocks, t, SPAN_BITS + (int(histogram.sum()) // FULL).bit_length()), "gathered")
+    answers = _answered(gathered.where("counts is not null").select("block", "span", "counts"))
     word = Window.partitionBy("word")
     words = gathered.where("word is not null").select("block", "word", "n")
     known = words.withColumn("c", F.sum("n").over(word)).withColumn("once", F.min("block").over(word) == F.col("block"))
@@ -157,12 +155,16 @@ def scores(docs: DataFrame) -> DataFrame:
     total, distinct = int(sums.n or 0) + trained, int(sums.v) + bool(trained)
 
     def work(bodies: pa.Table, own: pa.Table) -> pa.Table:
-        seen = dict(zip(own["word"].to_pylist(), own["c"].to_pylist(), strict=True))
+        words = own.filter(pc.is_valid(own["word"]))
+        seen = dict(zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True))
+        parts = [_opened(x) for x in own.filter(pc.is_valid(own["counts"])).sort_by("span")["counts"]]
+        keys, tables = np.concatenate([p[0] for p in parts]), np.concatenate([mixing.said_by(p, t) for p in parts])
+        del words, parts
         out = []
         for body in bodies["body"]:
             ids, tokens = _tokens(body)
             texts = [b" ".join(x) for x in tokens]
-            bits = mixing.score(texts, t, tables.value)
+            bits = mixing.score(texts, t, tables, keys=keys)
             for doc_id, words, text, b in zip(ids, tokens, texts, bits, strict=True):
                 c = np.array([seen[w] for w in words] + [trained], np.float64)
                 base = float(np.log10((c + 1) / (total + distinct + 1)).sum())
@@ -171,4 +173,5 @@ def scores(docs: DataFrame) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [[]] * 8
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return blocks.select("block", "body").groupBy("block").cogroup(known.select("block", "word", "c").groupBy("block")).applyInArrow(work, SCHEMA)
+    own = known.select("block", "word", "c").unionByName(answers, allowMissingColumns=True)
+    return blocks.select("block", "body").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(work, SCHEMA)

@@ -178,6 +178,29 @@ def test_model_is_a_distribution():
     assert mixing.score(texts[:2], t, tables).tolist() == mixing.score(texts[:2][::-1], t, tables).tolist()[::-1]
 
 
+def test_contexts_never_share_counts():
+    """More contexts than a table of CONTEXTS rows holds: each keeps its own counts, in one part or summed over parts."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(3000)).encode() for _ in range(16)]
+    t = mixing.tree(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
+    want: list[Counter] = [Counter() for _ in range(mixing.PREDICTORS)]
+    for x in texts:
+        padded = b"\n" * mixing.PAD + x + b"\n"
+        for i in range(mixing.PAD, len(padded)):
+            before = [padded[i - k : i] for k in mixing.ORDERS] + [padded[mixing.PAD : i].split(b" ")[-1]]
+            for k, c in enumerate(before):
+                want[k][c, padded[i]] += 1
+    whole = mixing.met(texts, [True] * 16, t)
+    assert len(whole[0]) == sum(len({c for c, _ in w}) for w in want) > 2 * mixing.CONTEXTS
+    assert sorted(whole[2].tolist()) == sorted(n for w in want for n in w.values())
+    parts = [mixing.met(texts[i : i + 4], [True] * 4, t) for i in range(0, 16, 4)]
+    assert all((a == b).all() for a, b in zip(mixing.merged(parts), whole, strict=True))
+    held = mixing.met(texts[:4], [False] * 4, t)
+    assert (held[0] == parts[0][0]).all() and not len(held[1])
+    few = mixing.chosen(whole, held[0])
+    assert mixing.said_by(few, t).tolist() == mixing.said_by(whole, t).reshape(-1, mixing.SYMBOLS)[np.isin(whole[0], held[0])].ravel().tolist()
+
+
 def test_mixing_learns_syllables(spark):
     """On held-out documents of rare words made of known syllables: fewer bits than each byte's own frequency gives."""
     rng = random.Random(3)
