@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pushflow.llm.common import _P, _PINV, mix, powers
 
 #: Bytes before, as contexts; the word so far is one more.
-ORDERS = (3, 5)
+ORDERS = (2, 3, 5)
 PREDICTORS = len(ORDERS) + 1
 CONTEXT_BITS, SYMBOLS = 17, 64
 CONTEXTS = 1 << CONTEXT_BITS
@@ -212,7 +212,7 @@ def odds(counts: np.ndarray, t: Tree) -> np.ndarray:
     return out
 
 
-def score(texts: list[bytes], t: Tree, tables: np.ndarray, weight: float = 0.4, rate: float = 0.004, keys: np.ndarray | None = None) -> np.ndarray:
+def score(texts: list[bytes], t: Tree, tables: np.ndarray, weight: float = 0.3, rate: float = 0.004, keys: np.ndarray | None = None) -> np.ndarray:
     """Bits that the model takes for each text, its end included; equal texts are scored once.
 
     With keys, which hold all the texts' own, tables have a row for each; else CONTEXTS rows for each predictor.

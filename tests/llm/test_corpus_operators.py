@@ -201,6 +201,14 @@ def test_contexts_never_share_counts():
     assert mixing.said_by(few, t).tolist() == mixing.said_by(whole, t).reshape(-1, mixing.SYMBOLS)[np.isin(whole[0], held[0])].ravel().tolist()
 
 
+def test_two_bytes_are_a_context():
+    """What follows two known bytes is known though the three before and the word so far are new."""
+    texts = [b"xabc", b"wabc", b"vabc"]
+    t = mixing.tree(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
+    _, pairs, n = mixing.chosen(mixing.met(texts, [True] * 3, t), mixing.met([b"qab"], [False], t)[0])
+    assert n[pairs % mixing.SYMBOLS == t.symbol[ord("c")]].tolist() == [3]
+
+
 def test_mixing_learns_syllables(spark):
     """On held-out documents of rare words made of known syllables: fewer bits than each byte's own frequency gives."""
     rng = random.Random(3)
