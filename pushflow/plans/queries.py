@@ -335,6 +335,12 @@ def backfill_select(spark, d):
     return log.backfill(_log(spark, d), dispatch_cursor(spark, d), T.queues(spark, d), 300).select("message_id")
 
 
+@_query("backfill_select_all", f"{_ACKS}, some_acks AS (SELECT *, row_number() OVER (PARTITION BY topic, partition ORDER BY log_offset) - 1 AS rn FROM acks WHERE message_id % 97 <> 50), cursors AS (SELECT topic, partition, coalesce(max(CASE WHEN log_offset = rn THEN log_offset END) + 1, 0) AS cursor FROM some_acks GROUP BY ALL) SELECT message_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY partition, log_offset) AS n FROM log LEFT JOIN cursors USING (topic, partition) WHERE log_offset >= coalesce(cursor, 0)) WHERE n <= 50000")
+def backfill_select_all(spark, d):
+    """backfill_select at the operator's own cap."""
+    return log.backfill(_log(spark, d), dispatch_cursor(spark, d), T.queues(spark, d)).select("message_id")
+
+
 _query("cap_backfill", "SELECT topic, least(count(*), 50000) AS n FROM log GROUP BY topic")(lambda spark, d: log.backfill(_log(spark, d), spark.createDataFrame([], "topic string, partition long, cursor long"), T.queues(spark, d)).groupBy("topic").agg(F.count("*").alias("n")))
 _query("leader_failover_backfill", "SELECT message_id FROM log WHERE partition = 2")(lambda spark, d: log.backfill(_log(spark, d).where("partition = 2"), spark.createDataFrame([], "topic string, partition long, cursor long"), T.queues(spark, d)).select("message_id"))
 

@@ -41,6 +41,17 @@ def test_cursor(spark):
     assert rows(log.dispatch_cursor(df)) == [("t", 0, 3), ("t", 1, 0)]
 
 
+def test_backfill_cap(spark):
+    df = spark.createDataFrame([(t, p, o) for t in ("a", "b", "c") for p in (0, 1) for o in range(3)], "topic string, partition long, log_offset long")
+    cursors = spark.createDataFrame([("a", 0, 2)], "topic string, partition long, cursor long")
+    queues = spark.createDataFrame([("a", "u", False), ("b", "u", False), ("c", "u", True)], "topic string, url string, paused boolean")
+    kept = rows(log.backfill(df, cursors, queues, 2), "topic", "partition", "log_offset")
+    assert kept == [("a", 0, 2), ("a", 1, 0), ("b", 0, 0), ("b", 0, 1)]
+    assert len(rows(log.backfill(df, cursors, queues))) == 10
+    long = spark.range(50_003).select(F.lit("b").alias("topic"), F.lit(0).cast("long").alias("partition"), F.col("id").alias("log_offset"))
+    assert log.backfill(long, cursors, queues).count() == 50_000
+
+
 def test_purge_and_recover(spark):
     df = spark.createDataFrame([("t", 0, 0, 0, True), ("t", 0, 0, 1, False), ("t", 0, 0, 2, True), ("t", 0, 1, 0, True)], "topic string, partition long, file_no int, pos int, ok boolean")
     assert rows(log.recover(df), "file_no", "pos", "log_offset") == [(0, 0, 0), (1, 0, 1)]
