@@ -84,6 +84,12 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a saved table that nothing reads any more."""
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most limit rows; reads no more than limit + 1 of them."""
     return df.limit(limit + 1).count() <= limit

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pushflow.llm import mixing
 from pushflow.llm.blocks import bucketed, packed, release, unpack
-from pushflow.llm.common import saved, trim
+from pushflow.llm.common import forget, saved, trim
 
 #: Spans of the keys are 2**SPAN_BITS for each FULL bytes of training text.
 SPAN_BITS, FULL = 9, 1 << 35
@@ -62,16 +62,26 @@ def _histogram(blocks: DataFrame) -> np.ndarray:
     return out
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The words' first bytes, then their second ones and so on: high bytes of small differences compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _words(raw: bytes, kind, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
 def _sealed(counts: mixing.Counts) -> bytes:
     keys, pairs, n = counts
-    head = np.array([len(keys), len(pairs)], np.int64)
-    return zstandard.compress(b"".join([head.tobytes(), keys.tobytes(), np.diff(pairs, prepend=0).astype(np.uint32).tobytes(), n.astype(np.int64).tobytes()]), 1)
+    head = np.array([len(keys), len(pairs)], np.int64).tobytes()
+    return zstandard.compress(head + _planes(np.diff(keys, prepend=np.uint64(0))) + _planes(np.diff(pairs, prepend=0).astype(np.uint32)) + _planes(n.astype(np.int64)), 1)
 
 
 def _opened(seal) -> mixing.Counts:
     raw = zstandard.decompress(seal.as_buffer())
     k, p = np.frombuffer(raw, np.int64, 2).tolist()
-    return np.frombuffer(raw, np.uint64, k, 16), np.cumsum(np.frombuffer(raw, np.uint32, p, 16 + 8 * k), dtype=np.int64), np.frombuffer(raw, np.int64, p, 16 + 8 * k + 4 * p)
+    return np.cumsum(_words(raw, np.uint64, k, 16), dtype=np.uint64), np.cumsum(_words(raw, np.uint32, p, 16 + 8 * k), dtype=np.int64), _words(raw, np.int64, p, 16 + 8 * k + 4 * p)
 
 
 def _spans(counts: mixing.Counts, bits: int):
@@ -120,13 +130,16 @@ def _both(block: int, words: Counter | None = None, spans: list | None = None) -
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, block, np.int64)), *own], names=["block", "word", "n", "span", "counts"])
 
 
+_NONE = np.zeros(0, np.uint64)
+
+
 def _answered(parts: DataFrame) -> DataFrame:
-    """parts(block, span, counts) with the counts that the whole corpus has of the same contexts."""
+    """parts(block, span, counts) with the counts that the whole corpus has of the same contexts, without their keys."""
 
     def work(rows: pa.Table) -> pa.Table:
         parts = [_opened(x) for x in rows["counts"]]
         total = mixing.merged(parts)
-        seals = [_sealed(mixing.chosen(total, keys)) for keys, _, _ in parts]
+        seals = [_sealed((_NONE, *mixing.chosen(total, keys)[1:])) for keys, _, _ in parts]
         return pa.table([rows["block"], rows["span"], pa.array(seals, pa.binary())], names=["block", "span", "counts"])
 
     return parts.groupBy("span").applyInArrow(work, "block long, span int, counts binary")
@@ -143,12 +156,14 @@ def scores(docs: DataFrame) -> DataFrame:
     blocks = bucketed(packed(docs, note=_trained_bytes), "block", "scored")
     histogram = _histogram(blocks)
     t = mixing.tree(histogram)
-    gathered = saved(_gathered(blocks, t, SPAN_BITS + (int(histogram.sum()) // FULL).bit_length()), "gathered")
-    answers = _answered(gathered.where("counts is not null").select("block", "span", "counts"))
+    span_bits = SPAN_BITS + (int(histogram.sum()) // FULL).bit_length()
+    gathered = saved(_gathered(blocks, t, span_bits), "gathered")
+    answers = saved(_answered(gathered.where("counts is not null").select("block", "span", "counts")), "answers")
     word = Window.partitionBy("word")
     words = gathered.where("word is not null").select("block", "word", "n")
     known = words.withColumn("c", F.sum("n").over(word)).withColumn("once", F.min("block").over(word) == F.col("block"))
     known = saved(known.select("block", "word", "c", "once"), "known")
+    forget(gathered)
     release(spark)
     # the end token counts once for each training document
     sums = known.where("once").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
@@ -157,13 +172,16 @@ def scores(docs: DataFrame) -> DataFrame:
     def work(bodies: pa.Table, own: pa.Table) -> pa.Table:
         words = own.filter(pc.is_valid(own["word"]))
         seen = dict(zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True))
-        parts = [_opened(x) for x in own.filter(pc.is_valid(own["counts"])).sort_by("span")["counts"]]
-        keys, tables = np.concatenate([p[0] for p in parts]), np.concatenate([mixing.said_by(p, t) for p in parts])
-        del words, parts
+        said = own.filter(pc.is_valid(own["counts"])).sort_by("span")
+        parts = [(span << (64 - span_bits), _opened(x)) for span, x in zip(said["span"].to_pylist(), said["counts"], strict=True)]
+        del words, said
         out = []
         for body in bodies["body"]:
             ids, tokens = _tokens(body)
             texts = [b" ".join(x) for x in tokens]
+            keys = mixing.met(texts, [False] * len(texts), t)[0]
+            pairs = np.concatenate([p + int(np.searchsorted(keys, np.uint64(low))) * mixing.SYMBOLS for low, (_, p, _) in parts])
+            tables = mixing.said_by((keys, pairs, np.concatenate([n for _, (_, _, n) in parts])), t)
             bits = mixing.score(texts, t, tables, keys=keys)
             for doc_id, words, text, b in zip(ids, tokens, texts, bits, strict=True):
                 c = np.array([seen[w] for w in words] + [trained], np.float64)

@@ -205,7 +205,8 @@ def test_two_bytes_are_a_context():
     """What follows two known bytes is known though the three before and the word so far are new."""
     texts = [b"xabc", b"wabc", b"vabc"]
     t = mixing.tree(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
-    _, pairs, n = mixing.chosen(mixing.met(texts, [True] * 3, t), mixing.met([b"qab"], [False], t)[0])
+    new = mixing.met([b"qab"], [False], t)
+    _, pairs, n = mixing.chosen(mixing.merged([mixing.met(texts, [True] * 3, t), new]), new[0])
     assert n[pairs % mixing.SYMBOLS == t.symbol[ord("c")]].tolist() == [3]
 
 
