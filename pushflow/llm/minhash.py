@@ -121,6 +121,8 @@ def _sets_of(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int, t
     """keys(key) to key and shingles, from the text of one document of each class."""
     wanted = keys.join(classes.select("key", "rep"), "key").select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(maybe_broadcast(saved(wanted, f"{tag}-wanted")), "doc_id", "left_semi")
+    # a class may have rows without doc_id only
+    texts = texts.select("doc_id", "text").union(docs.select("doc_id", "text").where("doc_id is null"))
     # a doc_id may stand for several rows; keys that were not asked for fall out of the joins
     return _sets(texts, width).groupBy("key").agg(F.first("shingles").alias("shingles"))
 

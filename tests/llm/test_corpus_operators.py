@@ -96,6 +96,16 @@ def test_edited_copies_of_one_text(spark):
     assert got == {d: c for d, _, c in plain_groups(docs, 3, 85)}
 
 
+def test_rows_without_doc_id_link_near_copies(spark):
+    """Two documents that only a row without doc_id connects, which equals neither."""
+    base = [f"w{i}" for i in range(100)]
+    docs = [(1, " ".join([*(f"a{i}" for i in range(9)), *base])), (None, " ".join(base)), (2, " ".join([*base, *(f"b{i}" for i in range(9))])), (3, "else")]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA), 3, 85).collect()]
+    want = plain_groups(docs, 3, 85)
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {d: c for d, _, c in want} == {1: 1, None: 1, 2: 1, 3: 3}
+
+
 def test_missed():
     assert minhash.missed(0.85) < 1e-5
 
