@@ -63,6 +63,12 @@ def peer_url(url: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(url), "/+$", ""))
 
 
+def destination_of_path(path: Column) -> Column:
+    """The URL that a path spells, percent-encoded or not; null for what is no http URL or not well encoded."""
+    url = F.try_url_decode(F.replace(F.trim(path), F.lit("+"), F.lit("%2B")))
+    return F.when(url.rlike("^https?://"), url)
+
+
 def normalize_cron(expression: Column) -> Column:
     """Five fields get a leading seconds field 0; anything else stays."""
     return F.when(F.size(F.split(F.trim(expression), r"\s+")) == 5, F.concat(F.lit("0 "), F.trim(expression))).otherwise(expression)

@@ -35,11 +35,21 @@ def upsert_by_name(stored: DataFrame, given: DataFrame) -> DataFrame:
 
 
 def upsert_lww(stored: DataFrame, given: DataFrame) -> DataFrame:
-    """By id; a strictly newer stored entry stays."""
-    g = given.select("id", *(F.col(c).alias(f"g_{c}") for c in ("name", "updated_at_ms")))
-    rows = stored.join(g, "id", "full_outer")
-    take = F.col("g_updated_at_ms").isNotNull() & (F.col("updated_at_ms").isNull() | (F.col("updated_at_ms") <= F.col("g_updated_at_ms")))
-    return rows.select("id", *(F.when(take, F.col(f"g_{c}")).otherwise(F.col(c)).alias(c) for c in ("name", "updated_at_ms")))
+    """stored and given(tenant_id, id, name, updated_at_ms): each given entry replaces the stored one of its
+    tenant and id, or else the one of its tenant and name, unless that is strictly newer; or is added.
+
+    Ids, and names, are distinct within a tenant on either side.
+    """
+    cols = stored.columns
+    g = given.select(F.struct(*cols).alias("g"))
+    s = stored.select(F.struct(*cols).alias("s"))
+    by_id = g.join(s, (F.col("g.tenant_id") == F.col("s.tenant_id")) & (F.col("g.id") == F.col("s.id")), "left")
+    rest = by_id.where(F.col("s").isNull()).select("g")
+    by_name = rest.join(s, (F.col("g.tenant_id") == F.col("s.tenant_id")) & (F.col("g.name") == F.col("s.name")), "left")
+    met = by_id.where(F.col("s").isNotNull()).unionByName(by_name)
+    taken = met.where(F.col("s").isNull() | (F.col("s.updated_at_ms") <= F.col("g.updated_at_ms")))
+    replaced = taken.where(F.col("s").isNotNull()).select("s.tenant_id", "s.id").distinct()
+    return stored.join(replaced, ["tenant_id", "id"], "left_anti").select(cols).unionByName(taken.select("g.*"))
 
 
 def upsert_flow(stored: DataFrame, given: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pushflow.operators.walk import walked
+
 PEER_TTL_MS = 10_000
 LEASE_MS = 5_000
 
@@ -48,20 +50,20 @@ def generations(leadership: DataFrame) -> DataFrame:
     return gained.groupBy("shard", "node").agg(F.count("*").alias("generation"))
 
 
-_LEASE = "struct<holder:bigint,until:bigint,log:array<struct<attempt_id:bigint,granted:boolean>>>"
-
-
 def lease(attempts: DataFrame) -> DataFrame:
-    """attempts(name, at_ms, attempt_id, node): granted if free, run out, or already one's own."""
-    listed = attempts.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("at_ms", "attempt_id", "node"))).alias("events"))
-    start = F.expr(f"cast(named_struct('holder', null, 'until', 0L, 'log', array()) as {_LEASE})")
+    """attempts(name, at_ms, attempt_id, node, dead): granted if free, run out, already one's own, or held by a dead node.
 
-    def step(acc, e):
-        granted = acc.holder.isNull() | (acc.until <= e.at_ms) | (acc.holder == e.node)
-        said = F.struct(e.attempt_id.alias("attempt_id"), granted.alias("granted"))
-        return F.struct(F.when(granted, e.node).otherwise(acc.holder).alias("holder"), F.when(granted, e.at_ms + LEASE_MS).otherwise(acc.until).alias("until"), F.concat(acc.log, F.array(said)).alias("log")).cast(_LEASE)
+    dead: the nodes that the one which tries sees as dead just then, as an array; null is none.
+    """
 
-    return listed.select("name", F.explode(F.aggregate("events", start, step, lambda a: a.log)).alias("_s")).select("name", "_s.*")
+    def step(state: list, at: int, node: int, dead: list | None) -> bool:
+        holder, until = state
+        granted = holder is None or until <= at or holder == node or holder in (dead or ())
+        if granted:
+            state[:] = [node, at + LEASE_MS]
+        return granted
+
+    return walked(attempts, "name", ["at_ms", "attempt_id"], ["at_ms", "node", "dead"], lambda: [None, 0], step, ["attempt_id"], "granted boolean")
 
 
 def register(known: DataFrame, given: DataFrame) -> DataFrame:
@@ -70,6 +72,11 @@ def register(known: DataFrame, given: DataFrame) -> DataFrame:
     return known.unionByName(new.select(known.columns))
 
 
+def remove(known: DataFrame, gone: DataFrame, seed: Column) -> DataFrame:
+    """Nodes without those that are taken out by name; seeds stay."""
+    return known.where(seed).unionByName(known.where(~seed).join(gone.select("name").distinct(), "name", "left_anti").select(known.columns))
+
+
 def overlay(configured: DataFrame, runtime: DataFrame) -> DataFrame:
     """Configured nodes with the url they run under now, where one is known."""
     now = runtime.select("id", F.col("url").alias("_url"))

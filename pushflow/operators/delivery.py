@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pushflow.functions import scalars as S
@@ -45,29 +45,36 @@ def dead_letters(outcome: DataFrame, rows: DataFrame, queues: DataFrame) -> Data
 def blocked_filter(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """Messages whose host is not blocked at their time; the others are deferred."""
     keyed = rows.withColumn("host", S.host_key(F.col("url")))
-    joined = keyed.join(F.broadcast(blocks.groupBy("host").agg(F.max("until_ms").alias("until_ms"))), "host", "left")
+    # hosts grow with the data: Spark picks the join by their size
+    joined = keyed.join(blocks.groupBy("host").agg(F.max("until_ms").alias("until_ms")), "host", "left")
     return joined.withColumn("deferred", F.coalesce(F.col("until_ms") > F.col("published_at_ms"), F.lit(False))).drop("until_ms")
 
 
-BREAKER = "struct<failures:int,until:bigint,cooldown:bigint,log:array<struct<event_id:bigint,blocked:boolean,until_ms:bigint>>>"
-
-
 def breaker(events: DataFrame, threshold: int = 3, cooldown: int = 30_000, growth: int = 2, most: int = 900_000) -> DataFrame:
     """events(host, at_ms, event_id, failed): after each event, whether the host is blocked and until when.
 
-    A fold over a host's events in time order: at the threshold and at every failure beyond
-    it the host is blocked and its cooldown grows; a success clears all.
+    At the threshold and at every failure beyond it the host is blocked and its cooldown grows;
+    a success clears all. Successes cut a host's events into runs, and a failure's place in its
+    run gives its cooldown: two running sums over one sort, and no state.
+    """
+    order = Window.partitionBy("host").orderBy("at_ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    in_run = Window.partitionBy("host", "_run").orderBy("at_ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("_run", F.count_if(~F.col("failed")).over(order)).withColumn("_failures", F.count_if("failed").over(in_run))
+    wait = F.least(F.lit(cooldown) * F.pow(F.lit(float(growth)), F.col("_failures") - threshold), F.lit(float(most))).cast("long")
+    until = F.when(F.col("failed") & (F.col("_failures") >= threshold), F.col("at_ms") + wait).otherwise(F.lit(0).cast("long"))
+    return rows.withColumn("until_ms", until).select("host", "event_id", (F.col("until_ms") > F.col("at_ms")).alias("blocked"), "until_ms")
+
+
+#: Shortest manual block.
+LEAST_BLOCK_MS = 1_000
+
+
+def manual_blocks(commands: DataFrame, now_ms: Column) -> DataFrame:
+    """commands(host, at_ms, command_id, action, duration_ms): hosts blocked at now and for how much longer.
+
+    A host is a URL or its key. The last command of a host counts: block, or unblock.
     """
-    one = F.struct("at_ms", "event_id", "failed")
-    listed = events.groupBy("host").agg(F.sort_array(F.collect_list(one)).alias("events"))
-    start = F.expr(f"cast(named_struct('failures', 0, 'until', 0L, 'cooldown', {cooldown}L, 'log', array()) as {BREAKER})")
-
-    def step(acc, e):
-        failures = F.when(e.failed, acc.failures + 1).otherwise(0)
-        trips = failures >= threshold
-        until = F.when(~e.failed, F.lit(0)).when(trips, e.at_ms + acc.cooldown).otherwise(acc.until)
-        after = F.when(~e.failed, F.lit(cooldown)).when(trips, F.least(acc.cooldown * growth, F.lit(most))).otherwise(acc.cooldown)
-        said = F.struct(e.event_id.alias("event_id"), (until > e.at_ms).alias("blocked"), until.cast("long").alias("until_ms"))
-        return F.struct(failures.cast("int").alias("failures"), until.cast("long").alias("until"), after.cast("long").alias("cooldown"), F.concat(acc.log, F.array(said)).alias("log")).cast(BREAKER)
-
-    return listed.select("host", F.explode(F.aggregate("events", start, step, lambda acc: acc.log)).alias("_s")).select("host", "_s.*")
+    key = F.when(F.col("host").contains("://"), F.coalesce(S.host_key(F.col("host")), F.trim("host"))).otherwise(F.trim("host"))
+    last = commands.withColumn("host", key).groupBy("host").agg(F.max_by(F.struct("action", "at_ms", "duration_ms"), F.struct("at_ms", "command_id")).alias("_c"))
+    left = F.col("_c.at_ms") + F.greatest("_c.duration_ms", F.lit(LEAST_BLOCK_MS)) - now_ms
+    return last.where((F.col("_c.action") == "block") & (left > 0)).select("host", left.cast("long").alias("remaining_ms"))

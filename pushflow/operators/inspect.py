@@ -42,3 +42,9 @@ def dashboard(sources: DataFrame, scheduled: DataFrame) -> DataFrame:
 def ingest_hourly(rows: DataFrame) -> DataFrame:
     hour = (F.col("published_at_ms") - F.col("published_at_ms") % 3_600_000).alias("hour_ms")
     return rows.groupBy("tenant_id", hour).agg(F.count("*").alias("messages"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"))
+
+
+def metrics(blocked: DataFrame, nodes: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: blocked hosts, nodes that are alive, and stored messages."""
+    each = [blocked.agg(F.count("*").alias("blocked_hosts")), nodes.agg(F.count_if("alive").alias("healthy_peers")), log.agg(F.count("*").alias("stored_messages"))]
+    return each[0].join(F.broadcast(each[1])).join(F.broadcast(each[2]))

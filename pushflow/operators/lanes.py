@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pushflow.operators.walk import walked
+
 
 def lane_order(rows: DataFrame) -> DataFrame:
     """Place of each waiting message in its lane: live before backfill, high priority first, then offset."""
@@ -13,49 +15,39 @@ def lane_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order).cast("long"))
 
 
-_ADMIT = "struct<anchor:bigint,used:bigint,log:array<struct<message_id:bigint,admitted:boolean>>>"
-_START = "struct<anchor:bigint,used:bigint,last:bigint,log:array<struct<message_id:bigint,start_ms:bigint>>>"
-
-
-def _listed(rows: DataFrame, lane: str) -> DataFrame:
-    return rows.groupBy(lane).agg(F.sort_array(F.collect_list(F.struct("at_ms", "message_id"))).alias("events"))
-
-
 def rate_window_admit(rows: DataFrame, lane: str, rate: int, period_ms: int) -> DataFrame:
     """rows(lane, at_ms, message_id): whether a token is free at each instant.
 
-    A window begins at the first admission after the last one has run out. The fold is over
-    one lane's events, which the semantics make sequential; lanes run side by side.
+    A window begins at the first admission after the last one has run out.
     """
     if rate == 0:
         return rows.select(lane, "message_id", F.lit(True).alias("admitted"))
-    start = F.expr(f"cast(named_struct('anchor', null, 'used', 0L, 'log', array()) as {_ADMIT})")
 
-    def step(acc, e):
-        fresh = acc.anchor.isNull() | (e.at_ms - acc.anchor >= period_ms)
-        used = F.when(fresh, F.lit(0)).otherwise(acc.used)
-        admitted = used < rate
-        said = F.struct(e.message_id.alias("message_id"), admitted.alias("admitted"))
-        return F.struct(F.when(fresh, e.at_ms).otherwise(acc.anchor).alias("anchor"), (used + admitted.cast("long")).alias("used"), F.concat(acc.log, F.array(said)).alias("log")).cast(_ADMIT)
+    def step(state: list, at: int) -> bool:
+        if state[0] is None or at - state[0] >= period_ms:
+            state[:] = [at, 0]
+        admitted = state[1] < rate
+        state[1] += admitted
+        return admitted
 
-    return _listed(rows, lane).select(lane, F.explode(F.aggregate("events", start, step, lambda a: a.log)).alias("_s")).select(lane, "_s.*")
+    return walked(rows, lane, ["at_ms", "message_id"], ["at_ms"], lambda: [None, 0], step, ["message_id"], "admitted boolean")
 
 
 def rate_window_start(rows: DataFrame, lane: str, rate: int, period_ms: int) -> DataFrame:
     """When each message starts if a denied one waits for the next window, one priority for all."""
-    start = F.expr(f"cast(named_struct('anchor', null, 'used', 0L, 'last', 0L, 'log', array()) as {_START})")
-
-    def step(acc, e):
-        t = F.greatest(e.at_ms, acc.last)
-        fresh = acc.anchor.isNull() | (t - acc.anchor >= period_ms)
-        room = acc.used < rate
-        at = F.when(fresh | room, t).otherwise(acc.anchor + period_ms)
-        anchor = F.when(fresh, t).when(room, acc.anchor).otherwise(acc.anchor + period_ms)
-        used = F.when(fresh | ~room, F.lit(1)).otherwise(acc.used + 1)
-        said = F.struct(e.message_id.alias("message_id"), at.alias("start_ms"))
-        return F.struct(anchor.alias("anchor"), used.cast("long").alias("used"), at.alias("last"), F.concat(acc.log, F.array(said)).alias("log")).cast(_START)
-
-    return _listed(rows, lane).select(lane, F.explode(F.aggregate("events", start, step, lambda a: a.log)).alias("_s")).select(lane, "_s.*")
+
+    def step(state: list, at: int) -> int:
+        anchor, used, last = state
+        at = max(at, last)
+        if anchor is None or at - anchor >= period_ms:
+            state[:] = [at, 1, at]
+        elif used < rate:
+            state[:] = [anchor, used + 1, at]
+        else:
+            state[:] = [anchor + period_ms, 1, anchor + period_ms]
+        return state[2]
+
+    return walked(rows, lane, ["at_ms", "message_id"], ["at_ms"], lambda: [None, 0, 0], step, ["message_id"], "start_ms long")
 
 
 def serial_starts(rows: DataFrame, lane: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pushflow.functions import scalars as S
 
 #: Retry default of the broker itself.
 BROKER_RETRIES = 3
+BROKER_BACKOFF = "exponential"
 DEFAULT_PARALLELISM = 4
 
 
@@ -48,21 +49,28 @@ def snapshot_destination(requests: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def resolve_retry(requests: DataFrame, queues: DataFrame) -> DataFrame:
-    """Request, then queue, then broker default."""
-    own = F.broadcast(queues.select("topic", "default_max_retries"))
-    return requests.join(own, "topic", "left").withColumn("max_retries", F.coalesce("max_retries_in", "default_max_retries", F.lit(BROKER_RETRIES)).cast("long")).drop("default_max_retries")
+    """Request, then queue, then broker default: for the retries, and for the backoff where requests and queues have one."""
+    backoff = "retry_backoff_in" in requests.columns
+    own = F.broadcast(queues.select("topic", "default_max_retries", *(["retry_backoff"] if backoff else [])))
+    rows = requests.join(own, "topic", "left").withColumn("max_retries", F.coalesce("max_retries_in", "default_max_retries", F.lit(BROKER_RETRIES)).cast("long")).drop("default_max_retries")
+    return rows.withColumn("retry_backoff", F.coalesce("retry_backoff_in", "retry_backoff", F.lit(BROKER_BACKOFF))) if backoff else rows
 
 
 def resolve_flow_limits(requests: DataFrame) -> DataFrame:
-    """Limits of the lane: any inline limit turns flow control on, else one at a time."""
+    """Limits of the lane, from rows(routing_key, flow_controlled, *_in).
+
+    Given limits count where any is given. Without any, a message under flow control goes one at a
+    time, and one outside it has the defaults. Without a key of its own a lane has the message's.
+    """
     inline = F.col("flow_key_in").isNotNull() | F.col("parallelism_in").isNotNull() | F.col("rate_in").isNotNull()
-    pick = lambda given, default, least: F.greatest(F.coalesce(given, F.lit(default)), F.lit(least)).cast("long")
+    pick = lambda given, default, least: F.greatest(F.coalesce(F.when(inline, given), default), F.lit(least)).cast("long")
+    alone = F.when(~inline & F.col("flow_controlled"), 1).otherwise(DEFAULT_PARALLELISM)
     return requests.withColumns(
         {
-            "flow_key": F.when(inline, F.coalesce("flow_key_in", F.col("message_id").cast("string"))),
-            "parallelism": F.when(inline, pick(F.col("parallelism_in"), DEFAULT_PARALLELISM, 1)).otherwise(F.lit(1).cast("long")),
-            "rate": F.when(inline, pick(F.col("rate_in"), 0, 0)).otherwise(F.lit(0).cast("long")),
-            "period_secs": F.when(inline, pick(F.col("period_in"), 1, 1)).otherwise(F.lit(1).cast("long")),
+            "flow_key": F.coalesce("flow_key_in", "routing_key"),
+            "parallelism": pick(F.col("parallelism_in"), alone, 1),
+            "rate": pick(F.col("rate_in"), F.lit(0), 0),
+            "period_secs": pick(F.col("period_in"), F.lit(1), 1),
         }
     )
 
@@ -86,7 +94,7 @@ def merge_http_spec(rows: DataFrame) -> DataFrame:
 
 
 def parse_headers(rows: DataFrame) -> DataFrame:
-    """headers as JSON, an object or an array of pairs or "K: v" lines, to rows (.., name, value)."""
+    """headers as JSON, an object or an array of pairs or "K: v" lines, to rows (.., name, value); the last of equal names counts."""
     text = F.trim("headers")
     as_map = F.map_entries(F.from_json(text, "map<string,string>"))
     items = F.from_json(text, "array<string>")
@@ -97,22 +105,34 @@ def parse_headers(rows: DataFrame) -> DataFrame:
         return F.when(x.startswith("["), F.struct(F.get(own, F.lit(0)).alias("key"), F.get(own, F.lit(1)).alias("value"))).otherwise(F.struct(F.trim(F.get(line, F.lit(0))).alias("key"), F.trim(F.get(line, F.lit(1))).alias("value")))
 
     found = F.when(text.startswith("{"), F.transform(as_map, lambda x: F.struct(x.key.alias("key"), x.value.alias("value")))).otherwise(F.transform(items, pair))
+    # of a name that comes again the last one counts
+    found = F.filter(found, lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y.key == x.key))
     return rows.select("*", F.explode(found).alias("_h")).select(*rows.columns, F.col("_h.key").alias("name"), F.col("_h.value").alias("value"))
 
 
 def group_fanout(requests: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
-    """One message for each active member of the group; a group without any is an error row elsewhere.
+    """One message for each active member of the group, with what the base request has; see fanout_errors.
 
+    A member's lane is its own flow key, or the base's routing key where that is not empty.
     The member side is a catalogue and is broadcast by Spark's own size rule.
     """
-    active = members.where(~F.col("paused")).join(groups.where(~F.col("group_paused")).select("group_id"), "group_id")
-    rows = requests.join(active, "group_id")
+    rows = requests.join(_active(groups, members), "group_id")
     member = F.col("member_id").cast("string")
-    key = F.when(F.coalesce("routing_key", F.lit("")) == "", member).otherwise(F.concat_ws(":", "routing_key", member))
+    base = F.nullif(F.coalesce("routing_key", F.lit("")), F.lit(""))
+    carried = [c for c in ("payload", "priority_in", "max_retries_in", "retry_backoff_in", "headers", "method") if c in requests.columns]
     return rows.select(
         "message_id", "group_id", "member_id",
-        key.alias("routing_key"),
-        F.coalesce("member_flow_key", "flow_key_in").alias("flow_key"),
+        F.when(base.isNull(), member).otherwise(F.concat_ws(":", base, member)).alias("routing_key"),
+        F.coalesce("member_flow_key", base).alias("flow_key"),
         F.when(F.col("idempotency_key").isNotNull(), F.concat_ws(":", "idempotency_key", member)).alias("idempotency_key"),
-        "parallelism", "rate", "period_secs", F.lit(S.DIRECT).alias("topic"), "url",
+        "parallelism", "rate", "period_secs", S.group_topic(F.col("group_id")).alias("topic"), "url", *carried,
     )
+
+
+def _active(groups: DataFrame, members: DataFrame) -> DataFrame:
+    return members.where(~F.col("paused")).join(groups.where(~F.col("group_paused")).select("group_id"), "group_id")
+
+
+def fanout_errors(requests: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+    """Requests to a group that has no active member, or that is not there: nobody would get them."""
+    return requests.where("group_id is not null").join(_active(groups, members).select("group_id").distinct(), "group_id", "left_anti")

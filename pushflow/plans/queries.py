@@ -167,7 +167,16 @@ def blob_hydrate(spark, d):
 
 join_blob_hydrate = _query("join_blob_hydrate", f"{_BLOBS} SELECT (NOT (large AND message_id % 50 = 0)) AS intact, count(*) AS n FROM blobs GROUP BY ALL")(lambda spark, d: blob_hydrate(spark, d).groupBy("intact").agg(F.count("*").alias("n")))
 _query("blob_put", "SELECT message_id, 'payloads/default/' || message_id AS blob_key FROM messages")(lambda spark, d: T.messages(spark, d).select("message_id", F.concat_ws("/", F.lit("payloads"), "tenant_id", F.col("message_id").cast("string")).alias("blob_key")))
-_query("object_store_recover", "SELECT topic, partition, greatest(40, max(log_offset) + 1) AS next_offset FROM log GROUP BY ALL")(lambda spark, d: log.high_watermark(_log(spark, d)).withColumn("next_offset", F.greatest(F.lit(40).cast("long"), "next_offset")))
+_STORED_NEXT = ", stored_next AS (SELECT DISTINCT topic, partition, partition * 40 AS next_offset FROM log WHERE partition < 3)"
+
+
+@_query("object_store_recover", f"{_STORED_NEXT} SELECT topic, partition, greatest(coalesce(max(s.next_offset), 0), coalesce(max(log_offset) FILTER (WHERE log_offset < coalesce(s.next_offset, 0) + 4096) + 1, 0)) AS next_offset FROM log LEFT JOIN stored_next s USING (topic, partition) GROUP BY ALL")
+def object_store_recover(spark, d):
+    rows = _log(spark, d)
+    stored = rows.where("partition < 3").select("topic", "partition", (F.col("partition") * 40).alias("next_offset")).distinct()
+    return log.recover_next(rows, stored)
+
+
 _query("catalog_source", "SELECT queue_id, url, default_max_retries FROM queues")(lambda spark, d: T.queues(spark, d).select("queue_id", "url", "default_max_retries"))
 
 
@@ -195,7 +204,13 @@ def join_queue_lookup(spark, d):
     return T.messages(spark, d).join(F.broadcast(T.queues(spark, d).select("topic", "url")), "topic", "left").select("message_id", "url")
 
 
-_query("no_destination_purge", f"{_REQUESTS}, dest AS ({_DEST[len(_REQUESTS):]}) SELECT message_id FROM dest WHERE dest_topic IS NULL")(lambda spark, d: resolve_destination(spark, d).where("error").select("message_id"))
+def _with_url(rows):
+    """Some records have an empty url, and some none."""
+    i = F.col("message_id")
+    return rows.withColumn("url", F.when(i % 11 == 0, "").when(i % 13 != 0, F.concat(F.lit("https://"), "topic", F.lit(".example.com"))))
+
+
+_query("no_destination_purge", "SELECT message_id FROM log WHERE message_id % 11 = 0 OR message_id % 13 = 0")(lambda spark, d: log.no_destination(_with_url(_log(spark, d))).select("message_id"))
 
 _VERSIONS = ", versions AS (SELECT queue_id AS id, v * 86400000 * 40 + 1704067200000 AS valid_from, url || '/v' || v AS url FROM queues, range(1, 5) AS r(v))"
 
@@ -209,9 +224,11 @@ def snapshot_destination(spark, d):
     return resolve.snapshot_destination(requests, versions).select("message_id", "url")
 
 
-@_query("resolve_retry", "SELECT message_id, coalesce(max_retries_in, default_max_retries, 3) AS max_retries FROM messages LEFT JOIN queues USING (topic)")
+@_query("resolve_retry", "SELECT message_id, coalesce(max_retries_in, default_max_retries, 3) AS max_retries, CASE WHEN message_id % 6 = 0 THEN 'fixed' WHEN topic IN ('view', 'click') THEN 'linear' ELSE 'exponential' END AS retry_backoff FROM messages LEFT JOIN queues USING (topic)")
 def resolve_retry(spark, d):
-    return resolve.resolve_retry(T.messages(spark, d), T.queues(spark, d)).select("message_id", "max_retries")
+    rows = T.messages(spark, d).withColumn("retry_backoff_in", F.when(F.col("message_id") % 6 == 0, "fixed"))
+    queues = T.queues(spark, d).withColumn("retry_backoff", F.when(F.col("topic").isin("view", "click"), "linear"))
+    return resolve.resolve_retry(rows, queues).select("message_id", "max_retries", "retry_backoff")
 
 
 def _flows(spark, d):
@@ -233,16 +250,11 @@ _query("join_flow_lookup", f"SELECT message_id, length(topic)::BIGINT AS paralle
 
 def _limits(spark, d):
     i = F.col("message_id")
-    return T.messages(spark, d).select("message_id", "flow_key_in", F.when(i % 7 == 0, i % 5).alias("parallelism_in"), F.when(i % 8 == 0, i % 3).alias("rate_in"), F.when(i % 9 == 0, i % 4).alias("period_in"))
-
+    return T.messages(spark, d).select("message_id", "routing_key", "flow_key_in", F.when(i % 7 == 0, i % 5).alias("parallelism_in"), F.when(i % 8 == 0, i % 3).alias("rate_in"), F.when(i % 9 == 0, i % 4).alias("period_in"))
 
-_LIMITS = """, limits AS (SELECT message_id, flow_key_in, CASE WHEN message_id % 7 = 0 THEN message_id % 5 END AS p, CASE WHEN message_id % 8 = 0 THEN message_id % 3 END AS r,
-  CASE WHEN message_id % 9 = 0 THEN message_id % 4 END AS s FROM messages), flagged AS (SELECT *, flow_key_in IS NOT NULL OR p IS NOT NULL OR r IS NOT NULL AS inline FROM limits)"""
 
-
-@_query("resolve_flow_limits", f"{_LIMITS} SELECT message_id, CASE WHEN inline THEN coalesce(flow_key_in, message_id::VARCHAR) END AS flow_key, CASE WHEN inline THEN greatest(coalesce(p, 4), 1) ELSE 1 END AS parallelism, CASE WHEN inline THEN coalesce(r, 0) ELSE 0 END AS rate, CASE WHEN inline THEN greatest(coalesce(s, 1), 1) ELSE 1 END AS period_secs FROM flagged")
-def resolve_flow_limits(spark, d):
-    return resolve.resolve_flow_limits(_limits(spark, d)).select("message_id", "flow_key", "parallelism", "rate", "period_secs")
+_LIMITS = """, limits AS (SELECT message_id, routing_key, flow_key_in, CASE WHEN message_id % 7 = 0 THEN message_id % 5 END AS p, CASE WHEN message_id % 8 = 0 THEN message_id % 3 END AS r,
+  CASE WHEN message_id % 9 = 0 THEN message_id % 4 END AS s FROM messages)"""
 
 
 def _owned(spark, d):
@@ -251,6 +263,14 @@ def _owned(spark, d):
 
 
 _OWNED = f"{_LIMITS}, owned AS (SELECT *, CASE WHEN message_id % 6 = 0 THEN message_id % 25 END AS member_id, CASE WHEN message_id % 4 = 1 THEN 'q' END AS queue_id, CASE WHEN message_id % 5 = 2 THEN 'p' END AS profile_id FROM limits)"
+
+
+@_query("resolve_flow_limits", f"""{_OWNED}, flagged AS (SELECT *, flow_key_in IS NOT NULL OR p IS NOT NULL OR r IS NOT NULL AS inline, coalesce(member_id::VARCHAR, queue_id, profile_id) IS NOT NULL AS owned_by FROM owned)
+  SELECT message_id, coalesce(flow_key_in, routing_key) AS flow_key, CASE WHEN inline THEN greatest(coalesce(p, 4), 1) WHEN owned_by THEN 1 ELSE 4 END AS parallelism, CASE WHEN inline THEN coalesce(r, 0) ELSE 0 END AS rate, CASE WHEN inline THEN greatest(coalesce(s, 1), 1) ELSE 1 END AS period_secs FROM flagged""")
+def resolve_flow_limits(spark, d):
+    return resolve.resolve_flow_limits(resolve.uses_flow_control(_owned(spark, d))).select("message_id", "flow_key", "parallelism", "rate", "period_secs")
+
+
 _query("lane_owner", f"{_OWNED} SELECT message_id, coalesce(member_id::VARCHAR, queue_id, profile_id, message_id::VARCHAR) AS owner FROM owned")(lambda spark, d: resolve.lane_owner(_owned(spark, d)).select("message_id", "owner"))
 _query("uses_flow_control", f"{_OWNED} SELECT message_id, coalesce(member_id::VARCHAR, queue_id, profile_id, flow_key_in, p::VARCHAR, r::VARCHAR) IS NOT NULL AS flow_controlled FROM owned")(lambda spark, d: resolve.uses_flow_control(_owned(spark, d)).select("message_id", "flow_controlled"))
 
@@ -266,7 +286,7 @@ def merge_http_spec(spark, d):
 def parse_headers(spark, d):
     i = F.col("message_id")
     as_object = F.concat(F.lit('{"Authorization":"Bearer '), i, F.lit('"}'))
-    as_array = F.concat(F.lit('[["X-Custom",'), i, F.lit('],"Accept: a/b: c"]'))
+    as_array = F.concat(F.lit('[["X-Custom","'), i, F.lit('x"],"Accept: a/b: c","X-Custom: '), i, F.lit('"]'))
     rows = T.messages(spark, d).select("message_id", F.when(i % 2 == 0, as_object).otherwise(as_array).alias("headers"))
     return resolve.parse_headers(rows).select("message_id", "name", "value")
 
@@ -283,8 +303,14 @@ _query("dlq_topic_predicates", f"{_REQUESTS} SELECT topic, topic LIKE '%.\\_\\_d
 _query("dispatchable_filter", "SELECT message_id FROM accepted WHERE partition IN (0, 3)")(lambda spark, d: log.accept(T.messages(spark, d)).where(~F.col("duplicate") & F.col("partition").isin(0, 3) & ~S.is_dlq(F.col("topic"))).select("message_id"))
 _query("semi_led_shards", "SELECT topic, count(*) AS n FROM messages WHERE partition IN (1, 2) GROUP BY topic")(lambda spark, d: T.messages(spark, d).join(F.broadcast(spark.range(1, 3).withColumnRenamed("id", "partition")), "partition", "left_semi").groupBy("topic").agg(F.count("*").alias("n")))
 _query("paused_filter", "SELECT member_id FROM members JOIN groups_ USING (group_id) WHERE NOT paused AND NOT group_paused")(lambda spark, d: T.members(spark, d).join(T.groups(spark, d), "group_id").where("not paused and not group_paused").select("member_id"))
-_query("long_client_select", "SELECT page_id, octet_length(encode(html)) >= 262144 AS long_client FROM pages")(lambda spark, d: T.read(spark, d, "pages").select("page_id", S.is_long(F.col("html")).alias("long_client")))
-_query("validate_destination_path", "SELECT page_id, starts_with(url, 'http://') OR starts_with(url, 'https://') AS valid FROM pages")(lambda spark, d: T.read(spark, d, "pages").select("page_id", F.coalesce(F.try_url_decode(F.url_encode("url")).rlike("^https?://"), F.lit(False)).alias("valid")))
+_PATHS = "CASE page_id % 5 WHEN 0 THEN replace(replace(url, ':', '%3A'), '/', '%2f') WHEN 1 THEN '  ' || url || ' ' WHEN 2 THEN replace(url, 'http', 'ftp') WHEN 3 THEN 'https%3' || page_id ELSE '' END"
+_query("validate_destination_path", "SELECT page_id, CASE WHEN page_id % 5 < 2 THEN url END AS destination FROM pages")(
+    lambda spark, d: T.read(spark, d, "pages").select("page_id", S.destination_of_path(F.expr(_PATHS)).alias("destination"))
+)
+# a payload at the limit, one byte below, and the page itself
+_query("long_client_select", "SELECT page_id, page_id % 3 = 0 OR (page_id % 3 = 2 AND octet_length(encode(html)) >= 262144) AS long_client FROM pages")(
+    lambda spark, d: T.read(spark, d, "pages").select("page_id", S.is_long(F.when(F.col("page_id") % 3 == 0, F.repeat(F.lit("x"), 262_144)).when(F.col("page_id") % 3 == 1, F.repeat(F.lit("x"), 262_143)).otherwise(F.col("html"))).alias("long_client"))
+)
 _query("schedule_kind_validate", "SELECT message_id, CASE WHEN message_id % 2 = 0 AND message_id % 3 <> 0 THEN TRUE WHEN message_id % 2 = 1 AND message_id % 3 = 0 THEN message_id % 5 >= 1 ELSE FALSE END AS valid FROM messages")(
     lambda spark, d: T.messages(spark, d).select("message_id", schedule.valid_schedule(F.when(F.col("message_id") % 2 == 0, "0 9 * * *"), F.when(F.col("message_id") % 3 == 0, F.col("message_id") % 5)).alias("valid"))
 )
@@ -294,12 +320,16 @@ _query("schedule_kind_validate", "SELECT message_id, CASE WHEN message_id % 2 =
 _FAN = """ FROM messages m JOIN members b USING (group_id) JOIN groups_ g USING (group_id) WHERE NOT b.paused AND NOT g.group_paused"""
 
 
-@_query("join_group_fanout", f"SELECT m.message_id, b.member_id, m.routing_key || ':' || b.member_id AS routing_key, coalesce(b.member_flow_key, m.flow_key_in) AS flow_key, m.idempotency_key || ':' || b.member_id AS idempotency_key, b.parallelism, b.rate {_FAN}")
+@_query("join_group_fanout", f"""SELECT m.message_id, b.member_id, CASE WHEN m.message_id % 10 > 0 THEN m.routing_key || ':' ELSE '' END || b.member_id AS routing_key,
+  coalesce(b.member_flow_key, CASE WHEN m.message_id % 10 > 0 THEN m.routing_key END) AS flow_key, m.idempotency_key || ':' || b.member_id AS idempotency_key, b.parallelism, b.rate,
+  '__group.' || m.group_id AS topic, m.payload, m.priority_in, m.max_retries_in {_FAN}""")
 def join_group_fanout(spark, d):
-    rows = resolve.group_fanout(T.messages(spark, d), T.groups(spark, d), T.members(spark, d))
-    return rows.select("message_id", "member_id", "routing_key", "flow_key", "idempotency_key", "parallelism", "rate")
+    requests = T.messages(spark, d).withColumn("routing_key", F.when(F.col("message_id") % 10 > 0, F.col("routing_key")).otherwise(""))
+    rows = resolve.group_fanout(requests, T.groups(spark, d), T.members(spark, d))
+    return rows.select("message_id", "member_id", "routing_key", "flow_key", "idempotency_key", "parallelism", "rate", "topic", "payload", "priority_in", "max_retries_in")
 
 
+_query("group_fanout_errors", f"SELECT message_id FROM messages WHERE group_id NOT IN (SELECT group_id {_FAN})")(lambda spark, d: resolve.fanout_errors(T.messages(spark, d), T.groups(spark, d), T.members(spark, d)).select("message_id"))
 _query("agg_group_accepted", f"SELECT group_id, count(*) AS accepted {_FAN} AND m.message_id IN (SELECT message_id FROM accepted) GROUP BY group_id")(
     lambda spark, d: resolve.group_fanout(log.accepted(T.messages(spark, d)), T.groups(spark, d), T.members(spark, d)).groupBy("group_id").agg(F.count("*").alias("accepted"))
 )
@@ -320,29 +350,52 @@ def _acks(spark, d):
 _ACKS = ", acks AS (SELECT topic, partition, log_offset, message_id, row_number() OVER (PARTITION BY topic, partition ORDER BY (message_id * 7919) % 104729, message_id) AS ack_seq FROM log)"
 
 
-@_query("dispatch_cursor", f"{_ACKS}, some_acks AS (SELECT *, row_number() OVER (PARTITION BY topic, partition ORDER BY log_offset) - 1 AS rn FROM acks WHERE message_id % 97 <> 50) SELECT topic, partition, coalesce(max(CASE WHEN log_offset = rn THEN log_offset END) + 1, 0) AS cursor FROM some_acks GROUP BY ALL")
+_CURSORS = f"""{_ACKS}, seen AS (SELECT topic AS owner, partition, log_offset, CASE WHEN topic = 'view' THEN 5 ELSE 0 END AS start FROM acks WHERE message_id % 97 <> 50),
+ moved AS (SELECT owner, partition, max(CASE WHEN log_offset - start = rn THEN log_offset END) + 1 AS cursor FROM (SELECT *, row_number() OVER (PARTITION BY owner, partition ORDER BY log_offset) - 1 AS rn FROM seen WHERE log_offset >= start) GROUP BY ALL),
+ cursors AS (SELECT owner, partition, coalesce(cursor, CASE WHEN owner = 'view' THEN 5 ELSE 0 END) AS cursor FROM (SELECT owner, partition FROM seen UNION SELECT 'view', p FROM range(4) AS r(p)) LEFT JOIN moved USING (owner, partition))"""
+
+
+@_query("dispatch_cursor", f"{_CURSORS} SELECT * FROM cursors")
 def dispatch_cursor(spark, d):
-    return log.dispatch_cursor(_acks(spark, d).where("message_id % 97 <> 50"))
+    """From where the cursors of one owner stand already."""
+    stored = spark.range(4).select(F.lit("view").alias("owner"), F.col("id").alias("partition"), F.lit(5).cast("long").alias("cursor"))
+    return log.dispatch_cursor(_acks(spark, d).where("message_id % 97 <> 50").withColumnRenamed("topic", "owner"), stored)
 
 
-@_query("purge_after_delivery", f"{_ACKS} SELECT message_id, ack_seq = max(ack_seq) OVER (PARTITION BY topic, partition ORDER BY log_offset) AS purged FROM acks")
+@_query("purge_after_delivery", f"{_ACKS} SELECT message_id, message_id % 9 = 0 OR message_id % 11 = 0 OR message_id % 13 = 0 OR ack_seq = max(ack_seq) OVER (PARTITION BY message_id % 9 = 0, topic, partition ORDER BY log_offset) AS purged FROM acks")
 def purge_after_delivery(spark, d):
-    return log.purge_after_delivery(_acks(spark, d)).select("message_id", "purged")
+    rows = _with_url(_acks(spark, d)).withColumn("owner", F.when(F.col("message_id") % 9 != 0, F.col("topic")))
+    return log.purge_after_delivery(rows).select("message_id", "purged")
 
 
-@_query("backfill_select", f"{_ACKS}, some_acks AS (SELECT *, row_number() OVER (PARTITION BY topic, partition ORDER BY log_offset) - 1 AS rn FROM acks WHERE message_id % 97 <> 50), cursors AS (SELECT topic, partition, coalesce(max(CASE WHEN log_offset = rn THEN log_offset END) + 1, 0) AS cursor FROM some_acks GROUP BY ALL) SELECT message_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY partition, log_offset) AS n FROM log LEFT JOIN cursors USING (topic, partition) WHERE log_offset >= coalesce(cursor, 0)) WHERE n <= 300")
-def backfill_select(spark, d):
-    return log.backfill(_log(spark, d), dispatch_cursor(spark, d), T.queues(spark, d), 300).select("message_id")
+def _direct_log(spark, d):
+    """A log in which some messages went to the direct topic, each its own owner."""
+    i = F.col("message_id")
+    rows = log.accepted(T.messages(spark, d)).withColumn("topic", F.when(i % 8 == 0, S.DIRECT).otherwise(F.col("topic")))
+    return _with_url(log.assign_offsets(rows)).withColumn("owner", F.when(i % 8 == 0, i.cast("string")).otherwise(F.col("topic")))
+
+
+_DIRECT_LOG = """, moved AS (SELECT * REPLACE (CASE WHEN message_id % 8 = 0 THEN '__direct' ELSE topic END AS topic) FROM accepted),
+ direct_log AS (SELECT *, row_number() OVER (PARTITION BY topic, partition ORDER BY message_id) - 1 AS log_offset FROM moved),
+ listed AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY partition, log_offset) AS n FROM direct_log)"""
+
+
+def _standing(spark, d):
+    """Cursors of the queues: behind 10 records in partition 1, 20 in partition 2, 30 in partition 3."""
+    return T.queues(spark, d).select(F.col("queue_id").alias("owner"), F.explode(F.sequence(F.lit(1), F.lit(3)).cast("array<long>")).alias("partition")).withColumn("cursor", F.col("partition") * 10)
 
 
-@_query("backfill_select_all", f"{_ACKS}, some_acks AS (SELECT *, row_number() OVER (PARTITION BY topic, partition ORDER BY log_offset) - 1 AS rn FROM acks WHERE message_id % 97 <> 50), cursors AS (SELECT topic, partition, coalesce(max(CASE WHEN log_offset = rn THEN log_offset END) + 1, 0) AS cursor FROM some_acks GROUP BY ALL) SELECT message_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY partition, log_offset) AS n FROM log LEFT JOIN cursors USING (topic, partition) WHERE log_offset >= coalesce(cursor, 0)) WHERE n <= 50000")
-def backfill_select_all(spark, d):
-    """backfill_select at the operator's own cap."""
-    return log.backfill(_log(spark, d), dispatch_cursor(spark, d), T.queues(spark, d)).select("message_id")
+@_query("backfill_select", f"{_DIRECT_LOG} SELECT message_id FROM listed WHERE n <= 50000 AND message_id % 11 <> 0 AND message_id % 13 <> 0 AND (topic = '__direct' OR log_offset >= partition * 10)")
+def backfill_select(spark, d):
+    return log.backfill(_direct_log(spark, d), _standing(spark, d), T.queues(spark, d)).select("message_id")
 
 
-_query("cap_backfill", "SELECT topic, least(count(*), 50000) AS n FROM log GROUP BY topic")(lambda spark, d: log.backfill(_log(spark, d), spark.createDataFrame([], "topic string, partition long, cursor long"), T.queues(spark, d)).groupBy("topic").agg(F.count("*").alias("n")))
-_query("leader_failover_backfill", "SELECT message_id FROM log WHERE partition = 2")(lambda spark, d: log.backfill(_log(spark, d).where("partition = 2"), spark.createDataFrame([], "topic string, partition long, cursor long"), T.queues(spark, d)).select("message_id"))
+_query("cap_backfill", f"{_DIRECT_LOG} SELECT topic, count(*) AS n FROM listed WHERE n <= 300 AND message_id % 11 <> 0 AND message_id % 13 <> 0 AND (topic = '__direct' OR log_offset >= partition * 10) GROUP BY topic")(
+    lambda spark, d: log.backfill(_direct_log(spark, d), _standing(spark, d), T.queues(spark, d), 300).groupBy("topic").agg(F.count("*").alias("n"))
+)
+_query("leader_failover_backfill", f"{_DIRECT_LOG} SELECT message_id FROM listed WHERE partition = 2 AND message_id % 11 <> 0 AND message_id % 13 <> 0 AND (topic = '__direct' OR log_offset >= 20)")(
+    lambda spark, d: log.backfill(_direct_log(spark, d).join(F.broadcast(spark.range(2, 3).withColumnRenamed("id", "partition")), "partition", "left_semi"), _standing(spark, d), T.queues(spark, d)).select("message_id")
+)
 
 
 # ---------------------------------------------------------------- delivery
@@ -420,10 +473,6 @@ def agg_dlq_sources(spark, d):
 
 _query("agg_dashboard_totals", f"{_SOURCES} SELECT sum(count)::BIGINT AS dead_letters, count_if(count > 0) AS sources, (SELECT count(*) FROM messages WHERE delay_ms IS NOT NULL) AS scheduled FROM sources")(lambda spark, d: inspect.dashboard(agg_dlq_sources(spark, d), T.messages(spark, d).where("delay_ms is not null")))
 _query("agg_ingest_hourly", "SELECT tenant_id, published_at_ms - published_at_ms % 3600000 AS hour_ms, count(*) AS messages, sum(octet_length(encode(payload)))::BIGINT AS bytes FROM messages GROUP BY ALL")(lambda spark, d: inspect.ingest_hourly(T.messages(spark, d)))
-_query("agg_metrics", "SELECT count_if(n_nationkey % 3 = 0) AS blocked_hosts, count_if(n_nationkey % 4 <> 0) AS healthy_peers, least(100, sum(n_nationkey) * 100 // 250)::BIGINT AS memory_percent FROM nation")(
-    lambda spark, d: T.read(spark, d, "nation").agg(F.count_if(F.col("n_nationkey") % 3 == 0).alias("blocked_hosts"), F.count_if(F.col("n_nationkey") % 4 != 0).alias("healthy_peers"), F.least(F.lit(100), F.floor(F.sum("n_nationkey") * 100 / 250)).cast("long").alias("memory_percent"))
-)
-
 _BLOCKS = ", blocks AS (SELECT 'https://' || event_type || '.example.com:443' AS host, max(epoch_us(ts) // 1000) - 86400000 AS until_ms FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL)"
 
 
@@ -450,9 +499,18 @@ def breaker_state(spark, d):
     return delivery.breaker(events)
 
 
-_query("breaker_manual", "SELECT topic AS host, greatest(1, max(message_id) % 4) * 1000 AS remaining_ms FROM messages GROUP BY topic")(
-    lambda spark, d: T.messages(spark, d).groupBy(F.col("topic").alias("host")).agg((F.greatest(F.lit(1), F.max("message_id") % 4) * 1000).alias("remaining_ms"))
-)
+#: A day of the tables on which some manual blocks are over.
+_LATER = 1_735_000_000_000
+
+
+def _commands(spark, d):
+    i = F.col("message_id")
+    return T.messages(spark, d).select(F.concat(F.lit("https://"), "topic", i % 40, F.lit(".Example.com/hook")).alias("host"), F.col("published_at_ms").alias("at_ms"), i.alias("command_id"), F.when(i % 7 < 5, "block").otherwise("unblock").alias("action"), (i % 61 * 30 * 86_400_000).alias("duration_ms"))
+
+
+_MANUAL = f""", commands AS (SELECT 'https://' || topic || (message_id % 40) || '.example.com:443' AS host, published_at_ms AS at_ms, message_id, message_id % 7 < 5 AS blocks, greatest(message_id % 61 * 30 * 86400000, 1000) AS duration_ms FROM messages),
+ manual AS (SELECT host, at_ms + duration_ms - {_LATER} AS remaining_ms FROM (SELECT * FROM commands QUALIFY row_number() OVER (PARTITION BY host ORDER BY at_ms DESC, message_id DESC) = 1) WHERE blocks AND at_ms + duration_ms > {_LATER})"""
+_query("breaker_manual", f"{_MANUAL} SELECT * FROM manual")(lambda spark, d: delivery.manual_blocks(_commands(spark, d), F.lit(_LATER)))
 
 
 # ---------------------------------------------------------------- lanes
@@ -529,10 +587,7 @@ _query("reset_rate", f"{_CONTROL} SELECT lane, max(seq) FILTER (WHERE action = '
 _query("delayed_release", "SELECT message_id FROM messages WHERE published_at_ms + delay_ms <= (SELECT max(published_at_ms) FROM messages) - 86400000")(
     lambda spark, d: (m := T.messages(spark, d).withColumn("deliver_at_ms", F.col("published_at_ms") + F.col("delay_ms"))).join(F.broadcast(m.agg((F.max("published_at_ms") - 86_400_000).alias("now_ms")))).transform(lambda x: schedule.delayed_release(x, F.col("now_ms"))).select("message_id")
 )
-_query("delayed_order", "SELECT message_id, row_number() OVER (ORDER BY published_at_ms + delay_ms, message_id) AS place FROM messages WHERE delay_ms IS NOT NULL ORDER BY place LIMIT 100")(
-    lambda spark, d: (top := T.messages(spark, d).where("delay_ms is not null").withColumn("at", F.col("published_at_ms") + F.col("delay_ms")).orderBy("at", "message_id").limit(100)).select("message_id", F.row_number().over(log.Window.orderBy("at", "message_id")).cast("long").alias("place"))
-)
-_query("delayed_order_all", "SELECT message_id, row_number() OVER (ORDER BY published_at_ms + delay_ms, message_id) AS place FROM messages WHERE delay_ms IS NOT NULL")(
+_query("delayed_order", "SELECT message_id, row_number() OVER (ORDER BY published_at_ms + delay_ms, message_id) AS place FROM messages WHERE delay_ms IS NOT NULL")(
     lambda spark, d: schedule.delayed_order(T.messages(spark, d).where("delay_ms is not null").withColumn("deliver_at_ms", F.col("published_at_ms") + F.col("delay_ms")))
 )
 _query("delayed_cancel", "SELECT message_id FROM messages WHERE delay_ms IS NOT NULL AND message_id % 12 <> 0")(lambda spark, d: T.messages(spark, d).where("delay_ms is not null").join(T.messages(spark, d).where("message_id % 12 = 0").select("message_id"), "message_id", "left_anti").select("message_id"))
@@ -572,10 +627,16 @@ def upsert_queue_by_name(spark, d):
     return catalog.upsert_by_name(_catalogue(spark, d, "s_suppkey % 4 between 1 and 2").select("id", "name", "url", "retries"), given)
 
 
-@_query("upsert_queue_lww", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 OR (s_suppkey % 4 = 1 AND s_suppkey % 11 <= 5) THEN 'new' ELSE 'n' || s_suppkey END AS name, CASE WHEN s_suppkey % 4 = 0 OR (s_suppkey % 4 = 1 AND s_suppkey % 11 <= 5) THEN 5 ELSE s_suppkey % 11 END AS updated_at_ms FROM supplier WHERE s_suppkey % 4 < 3")
+@_query("upsert_queue_lww", """SELECT 't' AS tenant_id, CASE WHEN f = 2 AND u <= 5 THEN s_suppkey + 100000 ELSE s_suppkey END AS id, CASE WHEN f IN (0, 1) AND (f = 0 OR u <= 5) THEN 'new' || s_suppkey ELSE 'n' || s_suppkey END AS name,
+  CASE WHEN f = 0 OR (f < 3 AND u <= 5) THEN 5 ELSE u END AS updated_at_ms FROM (SELECT s_suppkey, s_suppkey % 5 AS f, s_suppkey % 11 AS u FROM supplier) WHERE f < 4""")
 def upsert_queue_lww(spark, d):
-    given = _catalogue(spark, d, "s_suppkey % 4 < 2").select("id", F.lit("new").alias("name"), F.lit(5).cast("long").alias("updated_at_ms"))
-    return catalog.upsert_lww(_catalogue(spark, d, "s_suppkey % 4 between 1 and 2").select("id", "name", "updated_at_ms"), given)
+    """Given ones that are new, that meet a stored id under another name, or a stored name under another id."""
+    s = F.col("s_suppkey")
+    rows = T.read(spark, d, "supplier")
+    stored = rows.where(s % 5 > 0).where(s % 5 < 4).select(F.lit("t").alias("tenant_id"), s.alias("id"), F.concat(F.lit("n"), s).alias("name"), (s % 11).alias("updated_at_ms"))
+    other = s % 5 == 2
+    given = rows.where(s % 5 < 3).select(F.lit("t").alias("tenant_id"), F.when(other, s + 100_000).otherwise(s).alias("id"), F.concat(F.when(other, "n").otherwise("new"), s).alias("name"), F.lit(5).cast("long").alias("updated_at_ms"))
+    return catalog.upsert_lww(stored, given)
 
 
 @_query("upsert_flow_by_key", "SELECT s_suppkey::VARCHAR AS key, greatest(coalesce(CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 4 - 1 END, 1), 1) AS parallelism, greatest(s_suppkey % 9, 1) AS period_secs FROM supplier WHERE s_suppkey % 4 < 3")
@@ -649,14 +710,14 @@ _query("fence", f"{_ACKED} SELECT count(*) AS fenced FROM acks3 JOIN appends USI
 _query("generation_bump", "SELECT shard, node, count(*) AS generation FROM (SELECT user_id % 16 AS shard, event_id // 50 % 5 AS node, lag(event_id // 50 % 5) OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS was FROM events) WHERE node IS DISTINCT FROM was GROUP BY ALL")(
     lambda spark, d: cluster.generations(T.messages(spark, d).select((F.col("routing_key").cast("long") % 16).alias("shard"), F.col("message_id").alias("seq"), (F.floor(F.col("message_id") / 50) % 5).alias("node")))
 )
-_LEASES = ", tries AS (SELECT topic AS name, published_at_ms AS at_ms, message_id AS attempt_id, message_id % 4 AS node, row_number() OVER (PARTITION BY topic ORDER BY published_at_ms, message_id) AS nth FROM messages)"
+_LEASES = ", tries AS (SELECT topic AS name, published_at_ms // 200000 AS at_ms, message_id AS attempt_id, message_id % 4 AS node, CASE WHEN message_id % 3 = 0 THEN (message_id + 1) % 4 END AS dead, row_number() OVER (PARTITION BY topic ORDER BY published_at_ms // 200000, message_id) AS nth FROM messages)"
 
 
 @_query("scheduler_lease", f"""{_LEASES}, walk AS (SELECT name, attempt_id, nth, node AS holder, at_ms + 5000 AS until, TRUE AS granted FROM tries WHERE nth = 1
-  UNION ALL SELECT t.name, t.attempt_id, t.nth, CASE WHEN until <= t.at_ms OR holder = t.node THEN t.node ELSE holder END, CASE WHEN until <= t.at_ms OR holder = t.node THEN t.at_ms + 5000 ELSE until END, until <= t.at_ms OR holder = t.node
+  UNION ALL SELECT t.name, t.attempt_id, t.nth, CASE WHEN until <= t.at_ms OR holder = t.node OR holder = t.dead THEN t.node ELSE holder END, CASE WHEN until <= t.at_ms OR holder = t.node OR holder = t.dead THEN t.at_ms + 5000 ELSE until END, until <= t.at_ms OR holder = t.node OR coalesce(holder = t.dead, FALSE)
   FROM walk w JOIN tries t ON t.name = w.name AND t.nth = w.nth + 1) SELECT name, attempt_id, granted FROM walk""")
 def scheduler_lease(spark, d):
-    return cluster.lease(T.messages(spark, d).select(F.col("topic").alias("name"), F.col("published_at_ms").alias("at_ms"), F.col("message_id").alias("attempt_id"), (F.col("message_id") % 4).alias("node")))
+    return cluster.lease(T.messages(spark, d).select(F.col("topic").alias("name"), F.floor(F.col("published_at_ms") / 200_000).alias("at_ms"), F.col("message_id").alias("attempt_id"), (F.col("message_id") % 4).alias("node"), F.when(F.col("message_id") % 3 == 0, F.array((F.col("message_id") + 1) % 4)).alias("dead")))
 
 
 _query("forward_plan", f"{_LEADERS} SELECT message_id, leader, leader <> 0 AS forward FROM messages JOIN led ON shard = partition")(lambda spark, d: T.messages(spark, d).join(F.broadcast(_leaders(spark, d)), F.col("partition") == F.col("shard")).select("message_id", "leader", (F.col("leader") != 0).alias("forward")))
@@ -671,4 +732,9 @@ _query("membership_merge", f"{_MERGE} SELECT id, coalesce(r.url, c.url) AS url F
         lambda x: cluster.overlay(x, n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("http://new"), "n_nationkey")).alias("url")))
     )
 )
-_query("membership_remove", "SELECT n_name AS name FROM nation WHERE n_nationkey = 0 OR n_nationkey % 4 <> 0")(lambda spark, d: T.read(spark, d, "nation").where("n_nationkey = 0 or n_nationkey % 4 <> 0").select(F.col("n_name").alias("name")))
+_query("membership_remove", "SELECT n_name AS name FROM nation WHERE n_nationkey < 2 OR n_nationkey % 4 <> 0")(
+    lambda spark, d: (n := T.read(spark, d, "nation").select(F.col("n_name").alias("name"), (F.col("n_nationkey") < 2).alias("is_seed"), "n_nationkey")).transform(lambda x: cluster.remove(x, x.where("n_nationkey % 4 = 0"), F.col("is_seed"))).select("name")
+)
+_query("agg_metrics", f"{_MANUAL}{_NODES} SELECT (SELECT count(*) FROM manual) AS blocked_hosts, (SELECT count_if(alive) FROM nodes) AS healthy_peers, (SELECT count(*) FROM log) AS stored_messages")(
+    lambda spark, d: inspect.metrics(delivery.manual_blocks(_commands(spark, d), F.lit(_LATER)), _nodes(spark, d), _log(spark, d))
+)

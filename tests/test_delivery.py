@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,19 +38,75 @@ def test_delayed_order_places_every_message(spark):
 
 
 def test_cursor(spark):
-    df = spark.createDataFrame([("t", 0, o) for o in (0, 1, 2, 4, 5)] + [("t", 1, 3)], "topic string, partition long, log_offset long")
-    assert rows(log.dispatch_cursor(df)) == [("t", 0, 3), ("t", 1, 0)]
+    """An owner's cursor goes on from where it stands; acks before it, and those behind a gap, move nothing."""
+    df = spark.createDataFrame([("t", 0, o) for o in (0, 1, 2, 4, 5)] + [("t", 1, 3), ("u", 0, 0), ("u", 0, 7), ("u", 0, 8), ("v", 0, 1)], "owner string, partition long, log_offset long")
+    stored = spark.createDataFrame([("u", 0, 7), ("v", 0, 4), ("w", 2, 9)], "owner string, partition long, cursor long")
+    assert rows(log.dispatch_cursor(df, stored)) == [("t", 0, 3), ("t", 1, 0), ("u", 0, 9), ("v", 0, 4), ("w", 2, 9)]
+    assert rows(log.dispatch_cursor(df, stored.limit(0)), "owner", "cursor") == [("t", 0), ("t", 3), ("u", 1), ("v", 0)]
 
 
 def test_backfill_cap(spark):
-    df = spark.createDataFrame([(t, p, o) for t in ("a", "b", "c") for p in (0, 1) for o in range(3)], "topic string, partition long, log_offset long")
-    cursors = spark.createDataFrame([("a", 0, 2)], "topic string, partition long, cursor long")
-    queues = spark.createDataFrame([("a", "u", False), ("b", "u", False), ("c", "u", True)], "topic string, url string, paused boolean")
-    kept = rows(log.backfill(df, cursors, queues, 2), "topic", "partition", "log_offset")
-    assert kept == [("a", 0, 2), ("a", 1, 0), ("b", 0, 0), ("b", 0, 1)]
-    assert len(rows(log.backfill(df, cursors, queues))) == 10
-    long = spark.range(50_003).select(F.lit("b").alias("topic"), F.lit(0).cast("long").alias("partition"), F.col("id").alias("log_offset"))
-    assert log.backfill(long, cursors, queues).count() == 50_000
+    """The cap is on what is listed, before urls and cursors are looked at; the direct topic is always listed."""
+    kind = "topic string, partition long, log_offset long, url string, owner string"
+    df = spark.createDataFrame([(t, p, o, None if (t, o) == ("b", 1) else "u", t) for t in ("a", "b", "c", S.DIRECT, "a.__dlq") for p in (0, 1) for o in range(3)], kind)
+    cursors = spark.createDataFrame([("a", 0, 2)], "owner string, partition long, cursor long")
+    topics = spark.createDataFrame([("a",), ("b",), ("a.__dlq",)], "topic string")
+    assert rows(log.backfill(df, cursors, topics, 4), "topic", "partition", "log_offset") == [(S.DIRECT, 0, 0), (S.DIRECT, 0, 1), (S.DIRECT, 0, 2), (S.DIRECT, 1, 0), ("a", 0, 2), ("a", 1, 0), ("b", 0, 0), ("b", 0, 2), ("b", 1, 0)]
+    assert len(rows(log.backfill(df, cursors, topics))) == 6 + 4 + 4
+    long = spark.range(50_003).select(F.lit("b").alias("topic"), F.lit(0).cast("long").alias("partition"), F.col("id").alias("log_offset"), F.lit("u").alias("url"), F.lit("b").alias("owner"))
+    assert log.backfill(long, cursors, topics).count() == 50_000
+
+
+def test_purge_by_owner(spark):
+    """The record that closes its owner's prefix is purged; without owner or url there is nothing to wait for."""
+    df = spark.createDataFrame([("a", 0, 0, 2, "u"), ("a", 0, 1, 1, "u"), ("a", 0, 2, 3, ""), ("b", 0, 1, 1, "u"), (None, 0, 9, 1, "u")], "owner string, partition long, log_offset long, ack_seq long, url string")
+    got = {(r.owner, r.log_offset): r.purged for r in log.purge_after_delivery(df).collect()}
+    assert got == {("a", 0): True, ("a", 1): False, ("a", 2): True, ("b", 1): True, (None, 9): True}
+    assert rows(log.no_destination(df), "log_offset") == [(2,)]
+
+
+def test_flow_limits(spark):
+    """Given limits, the queue's one at a time, and the defaults outside flow control."""
+    df = spark.createDataFrame([("k", False, None, None, None, None), ("k", True, None, None, None, None), ("k", True, "own", None, None, None), ("k", False, None, 0, None, 9), ("k", True, None, None, 5, 0)], "routing_key string, flow_controlled boolean, flow_key_in string, parallelism_in long, rate_in long, period_in long")
+    got = [tuple(r) for r in resolve.resolve_flow_limits(df).select("flow_key", "parallelism", "rate", "period_secs").collect()]
+    assert got == [("k", 4, 0, 1), ("k", 1, 0, 1), ("own", 4, 0, 1), ("k", 1, 0, 9), ("k", 4, 5, 1)]
+
+
+def test_fanout(spark):
+    """A member's lane is its own key or the base's routing key; the base's payload and retries go along."""
+    groups = spark.createDataFrame([(1, False), (2, True), (3, False)], "group_id long, group_paused boolean")
+    members = spark.createDataFrame([(1, 7, "u7", False, 2, 0, 1, None), (1, 8, "u8", False, 1, 5, 60, "own"), (1, 9, "u9", True, 1, 0, 1, None), (2, 5, "u5", False, 1, 0, 1, None)], "group_id long, member_id long, url string, paused boolean, parallelism long, rate long, period_secs long, member_flow_key string")
+    kind = "message_id long, group_id long, routing_key string, idempotency_key string, flow_key_in string, payload string, priority_in long, max_retries_in long"
+    requests = spark.createDataFrame([(1, 1, "r", "i", "f", "p", 9, 2), (2, 1, "", None, "f", "p", None, None), (3, 2, "r", None, None, "p", None, None), (4, 3, "r", None, None, "p", None, None), (5, None, "r", None, None, "p", None, None)], kind)
+    got = rows(resolve.group_fanout(requests, groups, members), "message_id", "member_id", "routing_key", "flow_key", "idempotency_key", "topic", "payload", "priority_in", "max_retries_in")
+    assert got == [(1, 7, "r:7", "r", "i:7", "__group.1", "p", 9, 2), (1, 8, "r:8", "own", "i:8", "__group.1", "p", 9, 2), (2, 7, "7", None, None, "__group.1", "p", None, None), (2, 8, "8", "own", None, "__group.1", "p", None, None)]
+    assert rows(resolve.fanout_errors(requests, groups, members), "message_id") == [(3,), (4,)]
+
+
+def test_lease_and_manual_blocks(spark):
+    """A dead holder's lease is free; the last command of a host counts, under its key."""
+    df = spark.createDataFrame([("s", 0, 1, 1, None), ("s", 10, 2, 2, None), ("s", 20, 3, 2, [1]), ("s", 30, 4, 1, [3]), ("s", 5020, 5, 1, None)], "name string, at_ms long, attempt_id long, node long, dead array<long>")
+    assert rows(cluster.lease(df), "attempt_id", "granted") == [(1, True), (2, False), (3, True), (4, False), (5, True)]
+    commands = spark.createDataFrame([("https://A.com/x", 0, 1, "block", 50), ("https://b.com", 0, 2, "block", 9000), ("https://b.com/y", 5, 3, "unblock", None), (" h ", 0, 4, "block", 5000), ("https://a.com:443", 100, 5, "block", 10)], "host string, at_ms long, command_id long, action string, duration_ms long")
+    assert rows(delivery.manual_blocks(commands, F.lit(600))) == [("h", 4400), ("https://a.com:443", 500)]
+
+
+def test_long_lanes(spark):
+    """100 000 events of one host or lane, in time that grows with them."""
+    events = spark.range(100_000).select(F.lit("h").alias("host"), (F.col("id") * 7).alias("at_ms"), F.col("id").alias("event_id"), (F.col("id") % 100 > 0).alias("failed"))
+    began = time.monotonic()
+    assert delivery.breaker(events).where("blocked").count() == sum(i % 100 >= 3 for i in range(100_000))
+    lane = events.select(F.col("host").alias("lane"), "at_ms", F.col("event_id").alias("message_id"))
+    assert lanes.rate_window_admit(lane, "lane", 2, 70).where("admitted").count() == 20_000
+    assert lanes.rate_window_start(lane, "lane", 2, 14).agg(F.max("start_ms")).first()[0] == 699_993
+    assert time.monotonic() - began < 60
+
+
+def test_upsert_by_id_or_name(spark):
+    kind = "tenant_id string, id long, name string, updated_at_ms long"
+    stored = spark.createDataFrame([("t", 1, "a", 5), ("t", 2, "b", 9), ("u", 3, "c", 5)], kind)
+    given = spark.createDataFrame([("t", 8, "a", 5), ("t", 2, "z", 8), ("t", 3, "c", 1), ("u", 3, "d", 7)], kind)
+    assert rows(catalog.upsert_lww(stored, given)) == [("t", 2, "b", 9), ("t", 3, "c", 1), ("t", 8, "a", 5), ("u", 3, "d", 7)]
 
 
 def test_purge_and_recover(spark):
