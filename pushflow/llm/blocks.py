@@ -8,7 +8,6 @@ moves the answers only, however often that is done.
 
 from __future__ import annotations
 
-import atexit
 import gc
 import uuid
 from collections.abc import Callable
@@ -69,26 +68,22 @@ def bucket_count(df: DataFrame, split: int = 2) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), split * df.rdd.getNumPartitions())
 
 
-def bucketed(df: DataFrame, key: str, tag: str, split: int = 2) -> DataFrame:
-    """df written as a table bucketed by key, in at least as many buckets as a shuffle has partitions.
+def bucketed(df: DataFrame, key: str, tag: str, buckets: int | None = None) -> DataFrame:
+    """df written as a table bucketed by key, in `buckets`, or at least as many as a shuffle has partitions.
 
     Rows go to their bucket's files by a shuffle first, so that there are as many files as buckets.
+    The catalogue has the table's name only while it is written: its files go with the work folder.
     """
     spark = df.sparkSession
-    buckets = bucket_count(df, split)
+    buckets = buckets or bucket_count(df)
     name = f"pushflow_{tag}_{uuid.uuid4().hex}"
     with freed_shuffles(spark):
         df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", work_path(spark, tag)).format("parquet").saveAsTable(name)
-    atexit.register(_drop, spark, name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved while the name is there
+    spark.sql(f"DROP TABLE {name}")
     release(spark)
-    return spark.table(name)
-
-
-def _drop(spark: SparkSession, name: str) -> None:
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    except Exception:  # the session is gone, and its catalogue with it
-        pass
+    return out
 
 
 def release(spark: SparkSession) -> None:

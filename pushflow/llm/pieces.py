@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Words are units that no piece crosses: a run of spaces with what follows up to the next
-space or line break. The commonest are encoded once for all, the others once for each
-block of documents. Their substrings of at most the
-longest piece's length are exploded and equi-joined to the piece table, the edges found
-are grouped by word, and a higher-order aggregate folds each word's edges into its pieces:
+A text, its spaces replaced by the model's space sign and one put before it, is cut into words
+wherever two characters meet that stand side by side in no piece: neither a merge nor a path
+crosses there. Each distinct word of the corpus is encoded once: its substrings of at most the
+longest piece's length are exploded and equi-joined to the piece table, the edges found are
+grouped by word, and a higher-order aggregate folds each word's edges into its pieces:
 
 viterbi: the path of largest summed score, for models whose scores are log probabilities.
 bpe: the scores of a byte-pair model are merge ranks, for which the best path is not what
@@ -12,22 +12,23 @@ bpe: the scores of a byte-pair model are merge ranks, for which the best path is
   edges that join two neighbouring symbols, leftmost on ties. The state is one bit for
   each place in the word that is still a boundary.
 
-Characters without piece become the pieces of their bytes. Words of over LONG characters,
-which have no room in the state, are folded by the same rule in Python. Documents meet the
-ids of their words block by block.
+Characters without piece become the pieces of their bytes. Words of over LONG characters, for
+which the state has no room, are folded by the same rule in Python, once each. Blocks of
+documents ask for their words span by span and get the ids back in the order of asking.
 
 Cases: an empty text has no ids, a null text has null ones; decoding gives the text back
 (the model's space sign in a text comes back as a space); rows are encoded each, also
-when they repeat.
+when they repeat; docs must not have a column named ids, nor rows to decode one named
+decoded (ValueError).
 """
 
 from __future__ import annotations
 
 import heapq
-import itertools
-import re
-from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from pushflow.llm.blocks import bucket_count, bucketed, packed, unpack
-from pushflow.llm.common import saved, trim
+from pushflow.llm import vocabulary as v
+from pushflow.llm.blocks import bucketed, packed, total_bytes, unpack
+from pushflow.llm.common import forget, saved, slices, trim
 
 SPACE = "▁"
 #: Characters of a word that the fold's state has room for: bits 0 to 62 are boundaries.
 LONG = 60
-#: Words that all tasks know, at most, and the blocks they are counted in.
-FREQUENT, FIRST_BLOCKS = 60_000, 16
-_UNITS = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+#: Bytes of text in a block: the more, the fewer words are asked for twice.
+BLOCK = 12 << 20
+#: Words whose edges one task groups in memory.
+FOLDED = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -59,6 +62,19 @@ class Pieces:
     def longest(self) -> int:
         return max(map(len, self.ids), default=1)
 
+    @cached_property
+    def beside(self) -> frozenset[str]:
+        """Pairs of characters that stand side by side in a piece; no edge spans another pair."""
+        return frozenset(p[i : i + 2] for p in self.ids for i in range(len(p) - 1))
+
+    @cached_property
+    def odd(self) -> frozenset[str]:
+        """Pieces that, with a neighbour, make a piece of a better rank than their own: when such a
+        one has been merged, a merge of a rank that was already passed may have become possible."""
+        known = lambda x: len(x) == 1 or x in self.ids
+        halves = ((x[:i], x[i:], x) for x in self.ids for i in range(1, len(x)))
+        return frozenset(h for a, b, x in halves if known(a) and known(b) for h in (a, b) if len(h) > 1 and self.scores[h] <= self.scores[x])
+
     def names(self) -> dict[int, str]:
         return {i: p for p, i in self.ids.items()}
 
@@ -82,9 +98,58 @@ def load(path: str, fold: str = "bpe") -> Pieces:
     return Pieces(ids, scores, bytes_[0], fold)
 
 
-def units(text: str) -> list[str]:
-    """The words of a text, with the space sign; none for an empty text."""
-    return _UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+class Cutter:
+    """Cuts texts into words."""
+
+    def __init__(self, p: Pieces):
+        kinds = sorted({c for pair in p.beside for c in pair})
+        kind = {c: i + 1 for i, c in enumerate(kinds)}
+        self.top = max(map(ord, kinds), default=0)
+        self.kind = np.zeros(self.top + 2, np.int32)  # 0: a character that no piece has beside another
+        self.kind[[ord(c) for c in kinds]] = np.arange(1, len(kinds) + 1)
+        self.together = np.zeros((len(kinds) + 1, len(kinds) + 1), bool)
+        for a, b in p.beside:
+            self.together[kind[a], kind[b]] = True
+
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The number of words of each text; each word's place among the distinct ones; these, in order of first use."""
+        counts, found = [np.zeros(0, np.int64)], []
+        for part in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], most=1 << 20):
+            count, words = self._cut(part.column(0))
+            counts.append(count)
+            found.append(words.dictionary_encode())
+        if not found:
+            return counts[0], np.zeros(0, np.int32), pa.array([], pa.binary())
+        whole = pa.chunked_array(found).unify_dictionaries()
+        wide = whole.chunk(0).dictionary
+        data, length = v.parts_of(wide)
+        chars = data.view(np.uint32)
+        bytes_ = (1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)).astype(np.uint8)
+        first = np.cumsum(length // 4, dtype=np.int64) - length // 4
+        narrow = np.frombuffer(data.tobytes().decode("utf-32-le").encode(), np.uint8)
+        words = v.words_of(narrow, np.add.reduceat(bytes_, first, dtype=np.uint32) if len(first) else np.zeros(0, np.uint32))
+        return np.concatenate(counts), np.concatenate([c.indices.to_numpy() for c in whole.chunks]), words
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The number of words of each text, and the words, in UTF-32."""
+        texts = [SPACE + t if t else "" for t in texts.to_pylist()]
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).copy()
+        chars[chars == 32] = ord(SPACE)
+        ends = np.cumsum(np.array(list(map(len, texts)), np.int64))
+        edge = np.ones(len(chars) + 1, bool)
+        if len(chars):
+            kind = self.kind[np.minimum(chars, self.top + 1)]
+            edge[1:-1] = ~self.together[kind[:-1], kind[1:]]
+        edge[ends] = True
+        starts = np.flatnonzero(edge)
+        count = np.diff(np.concatenate([[0], np.searchsorted(starts, ends)]))
+        return count, pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts * 4), pa.py_buffer(chars)])
+
+
+def words_in(text: str, p: Pieces) -> list[str]:
+    """The words of a text; none for an empty one."""
+    _, at, words = Cutter(p).cut(pa.array([text]))
+    return words.cast(pa.string()).take(pa.array(at)).to_pylist()
 
 
 # ---------------------------------------------------------------- one word in Python
@@ -141,26 +206,42 @@ def encode_viterbi(word: str, p: Pieces) -> list[int]:
 
 
 # ---------------------------------------------------------------- the lattice
+#: An edge is one number: rank of its score, start, end and whether its piece is an odd one, from the highest bits down.
+RANK, START, END, ODD = 1 << 20, 1 << 14, 1 << 8, 1
+
+
 def piece_table(spark: SparkSession, p: Pieces) -> DataFrame:
-    return spark.createDataFrame([(k, i, float(p.scores[k])) for k, i in p.ids.items()], "piece string, id int, score double")
+    """piece, edge: the edge's number but for its start and end; equal scores have one rank."""
+    ranks = {x: i for i, x in enumerate(sorted(set(p.scores.values()), reverse=True))}
+    return spark.createDataFrame([(k, ranks[p.scores[k]] * RANK + (ODD if k in p.odd else 0)) for k in p.ids], "piece string, edge long")
 
 
 def lattice(words: DataFrame, p: Pieces) -> DataFrame:
-    """words(.., word), distinct, to the same with edges(rank, s, e, id), by rank and place; no edges: an empty array.
+    """words(.., word), distinct, to the same with edges, sorted; no edges: an empty array.
 
-    The piece table is broadcast: the model file bounds it. Rows that come partitioned by
-    some of their columns are grouped where they are.
+    Merges need no edge of a single character, paths do. A place sends the substrings that are
+    no longer than the longest piece that begins as it does there. The piece table and its
+    beginnings are broadcast: the model file bounds them. Rows that come partitioned by some of
+    their columns are grouped where they are.
     """
-    keys = words.columns
-    spark = words.sparkSession
-    n = F.char_length("word")
-    starts = words.select(*keys, n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select(*keys, "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + p.longest, F.col("n")))).alias("e"))
-    spans = spans.select(*keys, "s", "e", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
-    edges = spans.join(F.broadcast(piece_table(spark, p)), "piece", "left")
-    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("rank"), "s", "e", "id"))
-    # collect_list leaves nulls out, so a word without any piece keeps its row
-    return edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    keys, spark = words.columns, words.sparkSession
+    least = 1 if p.fold == "viterbi" else 2
+    heads: dict[str, int] = {}
+    for piece in p.ids:
+        if len(piece) >= least:
+            heads[piece[:least]] = max(heads.get(piece[:least], 0), len(piece))
+    table = spark.createDataFrame(list(heads.items()), "head string, most int")
+    s, e, n = F.col("s"), F.col("e"), F.char_length("word")
+    starts = words.select(*keys, F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).withColumn("head", F.substring("word", s + 1, F.lit(least)))
+    starts = starts.join(F.broadcast(table), "head", "left").where(F.col("most").isNotNull() | (s == 0))
+    last = F.least(s + F.col("most"), n)
+    # the empty substring at the start keeps a word that has no edge
+    ends = F.concat(F.when(s == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(last >= s + least, F.sequence(s + least, last)).otherwise(F.array().cast("array<int>")))
+    spans = starts.select(*keys, "s", F.explode(ends).alias("e"))
+    spans = spans.select(*keys, "s", "e", F.when(e > 0, F.substring("word", s + 1, e - s)).alias("piece"))
+    edges = spans.join(F.broadcast(piece_table(spark, p)), "piece", "left").where(F.col("edge").isNotNull() | (e == 0))
+    # collect_list leaves nulls out
+    return edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("edge") + s.cast("long") * START + e * END)).alias("edges"))
 
 
 def _bit(i: Column) -> Column:
@@ -172,65 +253,106 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _ids_between(a: Column, b: Column, p: Pieces) -> Column:
-    """Ids of the symbol from a to b: its piece, or its bytes."""
-    own = F.transform(F.filter("edges", lambda x: (x.s == a) & (x.e == b)), lambda x: x.id)
-    hexed = F.hex(F.encode(F.substring("word", a + 1, b - a), "utf-8"))
-    raw = F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2).cast("int") - 1), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + p.byte)
-    return _bound(own, lambda x: F.when(F.size(x) > 0, x).otherwise(raw))
+def _ends(edge: Column) -> tuple[Column, Column]:
+    """Start and end of an edge."""
+    return F.shiftright(edge, 14).bitwiseAND(63).cast("int"), F.shiftright(edge, 8).bitwiseAND(63).cast("int")
+
+
+def _masks() -> tuple[Column, Column]:
+    """For start * 64 + end the bits of both, and of all between: constants."""
+    ends = [1 << s | 1 << e if s < e < 63 else 0 for s in range(64) for e in range(64)]
+    inner = [(1 << e) - (1 << s + 1) if s < e < 63 else 0 for s in range(64) for e in range(64)]
+    # an expression in SQL, as one call for each of thousands of literals takes seconds
+    return tuple(F.expr(f"array({','.join(f'{x}L' for x in xs)})") for xs in (ends, inner))
+
+
+def _fits(state: Column, merge: Column) -> Column:
+    """Whether a merge joins two symbols that are there."""
+    return (state.bitwiseAND(merge.ends) == merge.ends) & (F.bit_count(state.bitwiseAND(merge.inner)) == 1)
 
 
 def _fold_bpe() -> Column:
-    """Boundaries when no merge is left."""
-    n = F.char_length("word")
-    merges = F.transform(
-        F.filter("edges", lambda x: x.e - x.s > 1),
-        lambda x: F.struct((_bit(x.s).bitwiseOR(_bit(x.e))).alias("ends"), (_bit(x.e) - _bit(x.s + 1)).alias("inner")),
-    )
+    """Boundaries when no merge is left, as bits.
+
+    The edges come by rank and place, and each is merged when its turn comes, if it fits. That is
+    the model's order unless a merge makes one possible whose turn is over, which only those of odd
+    pieces can do: where that happens, the word is folded again, with the best merge sought anew
+    after each.
+    """
+    whole = _bit(F.char_length("word") + 1) - 1
+    ends, inner = _masks()
 
-    def step(acc: Column, _: Column) -> Column:
-        """acc.next is the state after the last merge, null when there was none left."""
-        fits = lambda x: (acc.next.bitwiseAND(x.ends) == x.ends) & (F.bit_count(acc.next.bitwiseAND(x.inner)) == 1)
-        best = F.slice(F.filter(acc.merges, fits), 1, 1)
-        after = F.get(F.transform(best, lambda x: acc.next.bitwiseAND(F.bitwise_not(x.inner))), F.lit(0))
-        return F.when(acc.next.isNull(), acc).otherwise(F.struct(acc.next.alias("state"), after.alias("next"), acc.merges.alias("merges")))
+    def merge(x: Column) -> Column:
+        at = F.shiftright(x, 8).bitwiseAND(4095).cast("int")
+        return F.struct(x.alias("edge"), F.get(ends, at).alias("ends"), F.get(inner, at).alias("inner"))
 
-    whole = _bit(n + 1) - 1
-    state = F.aggregate(F.sequence(F.lit(1), n + 1), F.struct(whole.alias("state"), whole.alias("next"), merges.alias("merges")), step, lambda acc: acc.state)
-    return _bound(state, lambda st: F.filter(F.sequence(F.lit(0), n), lambda i: st.bitwiseAND(_bit(i)) != 0))
+    merges = F.transform("edges", merge)
+
+    def turn(acc: Column, x: Column) -> Column:
+        after = acc.state.bitwiseAND(F.bitwise_not(x.inner))
+        late = (x.edge.bitwiseAND(ODD) == 1) & _bound(after, lambda st: F.exists(acc.merges, lambda y: (y.edge < x.edge) & _fits(st, y)))
+        return F.when(_fits(acc.state, x), F.struct(after.alias("state"), (acc.late | late).alias("late"), acc.merges.alias("merges"))).otherwise(acc)
+
+    def again(acc: Column, _: Column) -> Column:
+        best = F.get(F.filter(acc.merges, lambda x: _fits(acc.state, x)), F.lit(0))
+        return F.struct(acc.state.bitwiseAND(F.bitwise_not(F.coalesce(best.inner, F.lit(0).cast("long")))).alias("state"), acc.merges.alias("merges"))
+
+    def fold(m: Column) -> Column:
+        once = F.aggregate(m, F.struct(whole.alias("state"), F.lit(False).alias("late"), m.alias("merges")), turn, lambda acc: F.struct(acc.state.alias("state"), acc.late.alias("late")))
+        anew = F.aggregate(F.sequence(F.lit(1), F.char_length("word")), F.struct(whole.alias("state"), m.alias("merges")), again, lambda acc: acc.state)
+        return _bound(once, lambda x: F.when(x.late, anew).otherwise(x.state))
+
+    return _bound(merges, fold)
 
 
 def _fold_viterbi(p: Pieces) -> Column:
-    """Boundaries of the best path."""
+    """Boundaries of the best path, as bits; ties to the shorter last piece."""
     n = F.char_length("word")
+    scores = F.array(*[F.lit(float(x)) for x in sorted(set(p.scores.values()), reverse=True)])
     unknown = min(p.scores.values()) - 10
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s")))
-
-    def step(best: Column, e: Column) -> Column:
-        own = F.transform(F.filter("edges", lambda x: x.e == e), lambda x: F.struct((F.get(best, x.s).score - x.rank).alias("score"), x.s.alias("s")))
-        rare = F.array(F.struct((F.get(best, e - 1).score + unknown).alias("score"), (e - 1).alias("s")))
-        known = F.exists("edges", lambda x: (x.e == e) & (x.s == e - 1))
-        return F.concat(best, F.array(F.array_max(F.when(known, own).otherwise(F.concat(own, rare)))))
-
-    best = F.aggregate(F.sequence(F.lit(1), n), first, step)
-    back = F.aggregate(
+    edges = F.transform("edges", lambda x: F.struct(_ends(x)[0].alias("s"), _ends(x)[1].alias("e"), F.get(scores, F.shiftright(x, 20).cast("int")).alias("score")))
+    first = F.struct(F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"))).alias("best"), edges.alias("edges"))
+
+    def step(acc: Column, e: Column) -> Column:
+        here = F.filter(acc.edges, lambda x: x.e == e)
+        own = F.transform(here, lambda x: F.struct((F.get(acc.best, x.s).score + x.score).alias("score"), x.s.alias("s")))
+        rare = F.array(F.struct((F.get(acc.best, e - 1).score + unknown).alias("score"), (e - 1).alias("s")))
+        known = F.exists(here, lambda x: x.s == e - 1)
+        return F.struct(F.concat(acc.best, F.array(F.array_max(F.when(known, own).otherwise(F.concat(own, rare))))).alias("best"), acc.edges.alias("edges"))
+
+    best = F.aggregate(F.sequence(F.lit(1), n), first, step, lambda acc: acc.best)
+    return F.aggregate(
         F.sequence(F.lit(1), n),
-        F.struct(n.alias("at"), F.array(n).alias("bounds"), best.alias("best")),
-        lambda acc, _: F.when(acc.at == 0, acc).otherwise(F.struct(F.get(acc.best, acc.at).s.alias("at"), F.concat(F.array(F.get(acc.best, acc.at).s), acc.bounds).alias("bounds"), acc.best.alias("best"))),
-        lambda acc: acc.bounds,
+        F.struct(n.alias("at"), _bit(n).alias("bits"), best.alias("best")),
+        lambda acc, _: F.when(acc.at == 0, acc).otherwise(_bound(F.get(acc.best, acc.at).s, lambda s: F.struct(s.alias("at"), acc.bits.bitwiseOR(_bit(s)).alias("bits"), acc.best.alias("best")))),
+        lambda acc: acc.bits,
     )
-    return back
 
 
-def _spelled(bounds: Column, p: Pieces) -> Column:
+def _spelled(word: str, bits: int, p: Pieces) -> list[int]:
     """Ids of the symbols between boundaries."""
-    return _bound(bounds, lambda b: F.flatten(F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: _ids_between(F.get(b, i - 1), F.get(b, i), p))))
+    out: list[int] = []
+    begin = 0
+    for i in range(1, len(word) + 1):
+        if bits >> i & 1:
+            symbol = word[begin:i]
+            out += [p.ids[symbol]] if symbol in p.ids else _bytes_of(symbol, p)
+            begin = i
+    return out
 
 
 def encode_short(words: DataFrame, p: Pieces) -> DataFrame:
     """words(.., word), distinct, not empty and of at most LONG characters, with ids."""
-    folded = lattice(words, p)
-    return folded.select(*words.columns, _spelled(_fold_viterbi(p) if p.fold == "viterbi" else _fold_bpe(), p).alias("ids"))
+    keys = words.columns
+    folded = lattice(words, p).select(*keys, (_fold_viterbi(p) if p.fold == "viterbi" else _fold_bpe()).alias("bits"))
+    place = keys.index("word")
+
+    def spell(batches):
+        for batch in batches:
+            ids = [_spelled(w, b, p) for w, b in zip(batch.column(place).to_pylist(), batch.column(len(keys)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(ids, pa.list_(pa.int32()))], names=[*keys, "ids"])
+
+    return folded.mapInArrow(spell, StructType([*words.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def encode_one(word: str, p: Pieces) -> list[int]:
@@ -238,91 +360,144 @@ def encode_one(word: str, p: Pieces) -> list[int]:
 
 
 # ---------------------------------------------------------------- documents
-def _texts(body) -> tuple[pa.RecordBatch, list[str | None]]:
-    rows = unpack(body.as_buffer())
-    return rows, rows.column(rows.schema.get_field_index("text")).to_pylist()
+def _texts(rows: pa.RecordBatch) -> pa.Array:
+    return rows.column(rows.schema.get_field_index("text"))
 
 
-def _frequent(blocks: DataFrame, p: Pieces) -> dict[str, list[int]]:
-    """Ids of the FREQUENT commonest words of the first FIRST_BLOCKS blocks, by the same lattice.
+def _asked(blocks: DataFrame, p: Pieces, spans: int) -> DataFrame:
+    """(block, span, words): the distinct words of each block, in parts."""
 
-    A cache of bounded size: which words it holds changes where a word is encoded, not how.
-    """
-
-    def count(batches):
+    def work(batches):
+        cutter = Cutter(p)
         for batch in batches:
-            for body in batch.column(0):
-                n = Counter(w for t in _texts(body)[1] if t for w in units(t) if len(w) <= LONG)
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = cutter.cut(_texts(unpack(body.as_buffer())))[2]
+                order, parts = v.dealt(words, spans)
+                words = words.take(pa.array(order))
+                sealed = [v.seal(*v.parts_of(words.slice(i, j - i))) for _, i, j in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), block, np.int64)), pa.array([x for x, _, _ in parts], pa.int32()), pa.array(sealed, pa.binary())], names=["block", "span", "words"])
         trim()
 
-    first = blocks.select("block").orderBy("block").limit(FIRST_BLOCKS)
-    words = blocks.join(F.broadcast(first), "block", "left_semi").select("body").mapInArrow(count, "word string, n long")
-    top = saved(words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word"), "frequent-words")
-    return {r.word: r.ids for r in encode_short(top.repartition("word"), p).toLocalIterator()}
+    return blocks.select("block", "body").mapInArrow(work, "block long, span int, words binary")
 
 
-def encode(docs: DataFrame, p: Pieces) -> DataFrame:
-    """docs(text, ...) with a column ids added, array<int>.
+def _words(parts: DataFrame) -> DataFrame:
+    """(span, word): each distinct word once."""
 
-    A block sends its distinct words but for the commonest ones, which all tasks know. They
-    go to their block's partition in one shuffle, and the lattice, the fold and the meeting
-    with the block's texts all happen there.
-    """
-    spark = docs.sparkSession
-    bodies = packed(docs)
-    # about a block in a bucket: the edges of its words are sorted in memory
-    blocks, parts = bucketed(bodies, "block", "pieces", 8), bucket_count(bodies, 8)
-    frequent = spark.sparkContext.broadcast(_frequent(blocks, p))
+    def work(t: pa.Table) -> pa.Table:
+        words = v.distinct([v.words_of(*v.unseal(x)) for x in t["words"]])
+        trim()
+        return pa.table([pa.array(np.full(len(words), t["span"][0].as_py() if t.num_rows else 0, np.int32)), words.cast(pa.string())], names=["span", "word"])
+
+    return parts.select("span", "words").groupBy("span").applyInArrow(work, "span int, word string")
 
-    def distinct(batches):
-        common = frequent.value
+
+def encode_words(words: DataFrame, p: Pieces) -> DataFrame:
+    """words(.., word), distinct and not empty, with ids: by the lattice, or in Python where they are too long for its state."""
+    spark = words.sparkSession
+    size = F.char_length("word")
+    short = words.where(size <= LONG)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-short.count() // FOLDED))
+    place = words.columns.index("word")
+
+    def fold(batches):
         for batch in batches:
-            for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found: dict[str, None] = {}
-                for t in _texts(body)[1]:
-                    if t:
-                        found.update(dict.fromkeys(w for w in units(t) if w not in common and len(w) <= LONG))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found, pa.string())], names=["block", "word"])
+            yield batch.append_column("ids", pa.array([encode_one(w, p) for w in batch.column(place).to_pylist()], pa.list_(pa.int32())))
+
+    long = words.where(size > LONG).mapInArrow(fold, StructType([*words.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+    return encode_short(short.repartition(parts, "word"), p).unionByName(long)
+
+
+@contextmanager
+def _grouped_in_memory(spark: SparkSession):
+    """Tasks hold FOLDED words at most: their edges are grouped by hash and not sorted, which would spill."""
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(4 * FOLDED))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _answers(parts: DataFrame, encoded: DataFrame) -> DataFrame:
+    """(block, span, ids): the ids of each part's words, in the part's order."""
+
+    def work(asked: pa.Table, told: pa.Table) -> pa.Table:
+        known, ids = told["word"].combine_chunks().cast(pa.binary()), told["ids"].combine_chunks()
+        out = []
+        for x in asked["words"]:
+            own = ids.take(pa.array(v.places(v.words_of(*v.unseal(x)), known)))
+            out.append(v.seal(own.value_lengths().to_numpy().astype(np.uint32), own.flatten().to_numpy()))
         trim()
+        return pa.table([asked["block"], asked["span"], pa.array(out, pa.binary())], names=["block", "span", "ids"])
+
+    return parts.groupBy("span").cogroup(encoded.groupBy("span")).applyInArrow(work, "block long, span int, ids binary")
+
 
-    words = blocks.select("block", "body").mapInArrow(distinct, "block long, word string").repartition(parts, "block")
+def encode(docs: DataFrame, p: Pieces) -> DataFrame:
+    """docs(text, ...) with a column ids added, array<int>."""
+    if "ids" in docs.columns:
+        raise ValueError("docs have a column named ids")
+    spark = docs.sparkSession
+    blocks = bucketed(packed(docs, BLOCK), "block", "pieces")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spans = v.span_count(total_bytes(blocks), least)
+    parts = bucketed(_asked(blocks, p, spans), "span", "asked", least)
+    words = saved(_words(parts), "words")
+    with _grouped_in_memory(spark):
+        encoded = bucketed(encode_words(words, p), "span", "encoded", least)
+    forget(words)
+    answers = _answers(parts, encoded)
     schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))])
 
-    def work(bodies, own):
-        common = frequent.value
-        known = dict(zip(own["word"].to_pylist(), own["ids"].combine_chunks(), strict=True))
-        out = []
+    def work(bodies: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.sort_by("span")
+        answered = [v.unseal(x) for x in told["ids"]]
+        size = np.concatenate([np.zeros(0, np.uint32), *[x for x, _ in answered]])
+        ids = np.concatenate([np.zeros(0, np.int32), *[x for _, x in answered]])
+        del told, answered
+        out, cutter = [], Cutter(p)
         for body in bodies["body"]:
-            rows, texts = _texts(body)
-            place: dict[str, int] = {}  # of each word its number, in order of first use
-            at = [[place.setdefault(w, len(place)) for w in units(t)] if t else [] for t in texts]
-            each = [common[w] if w in common else known[w].as_py() if w in known else encode_one(w, p) for w in place]
-            size = np.array([len(x) for x in each], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(itertools.chain.from_iterable(each), pa.int32()))
-            flat = np.concatenate([np.array(a, np.int64) for a in at])
-            ends = np.concatenate([[0], np.cumsum(size[flat] if len(size) else [])])[np.concatenate([[0], np.cumsum([len(a) for a in at])])]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.take(pa.array(flat)).flatten(), mask=pa.array([t is None for t in texts]))
-            out.append(pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, "ids"]))
+            rows = unpack(body.as_buffer())
+            count, at, words = cutter.cut(_texts(rows))
+            order, _ = v.dealt(words, spans)
+            del words
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids, pa.int32()))
+            flat = back[at]
+            ends = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum(count)])]
+            each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.take(pa.array(flat)).flatten(), mask=_texts(rows).is_null())
+            out += slices([pa.RecordBatch.from_arrays([*rows.columns, each], names=[*rows.schema.names, "ids"])], most=1 << 20)
+            del count, at, order, back, lists, flat, ends, each
+        trim()
         return pa.Table.from_batches(out)
 
-    return blocks.select("block", "body").groupBy("block").cogroup(encode_short(words, p).groupBy("block")).applyInArrow(work, schema)
-
-
-def decode_ids(ids: list[int], names: dict[int, str], byte: int) -> str:
-    """The text of some ids; bytes that are no character become replacement characters."""
-    raw = b"".join(names[i].encode() if i in names else bytes([i - byte]) for i in ids)
-    text = raw.decode("utf8", "replace").replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
+    return blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
 
 
 def decode(docs: DataFrame, p: Pieces, column: str = "ids") -> DataFrame:
-    """docs with a column decoded, the text of the ids; null for null ids."""
+    """docs with a column decoded, the text of the ids; null for null ids.
+
+    Bytes that are no character become replacement characters; ids that are no piece give nothing.
+    """
+    if "decoded" in docs.columns:
+        raise ValueError("docs have a column named decoded")
     names, place = p.names(), docs.columns.index(column)
+    spelled = pa.array([names[i].replace(SPACE, " ").encode() if i in names else bytes([i - p.byte]) if p.byte <= i < p.byte + 256 else b"" for i in range(max([*names, p.byte + 255]) + 1)], pa.binary())
+
+    def texts(ids: pa.ListArray) -> list[str | None]:
+        data, length = v.parts_of(spelled.take(ids.flatten()))
+        ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())])].tolist()
+        raw = data.tobytes()
+        return [None if null else raw[a:b].decode("utf8", "replace").removeprefix(" ") for a, b, null in zip(ends, ends[1:], ids.is_null().to_pylist(), strict=False)]
 
     def work(batches):
         for batch in batches:
-            texts = [None if x is None else decode_ids(x, names, p.byte) for x in batch.column(place).to_pylist()]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield part.append_column("decoded", pa.array(texts(part.column(place)), pa.string()))
+        trim()
 
     return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("decoded", StringType())]))
