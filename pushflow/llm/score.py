@@ -1,51 +1,53 @@
 """Language-model scores: a unigram base over the whole corpus and the context-mixing model.
 
-Both learn from the documents that are not held out and score all. Token counts are summed
-over the corpus, and each block of documents gets the counts of its own words back. So it
-does with the model's contexts: a block names its contexts and their counts, cut by key into
-spans; a span's counts are summed over the corpus, and each block gets those of its own
-contexts back. Nothing of the model but its tree is broadcast, and no table has a fixed size.
-
-Cases: a null or empty text has the end token only; without training documents the base
-gives each token probability 1 and the model half a bit's worth to each bit; a null doc_id
-is not held out; rows that repeat a doc_id are scored each.
+Both learn from the documents that are not held out and score all. What is coded is a text's
+lower-cased words, each with one space, and an end: other white space is not in the probability.
+
+Blocks of documents name their distinct units (words, as the model cuts them) and what follows
+them, cut by hash into spans. A span's units meet once, with their counts over the corpus: the
+vocabulary. Its contexts are counted in spans of their own, so nothing of the model but the tree of
+the bytes is broadcast, and no table has a fixed size. Each unit's cost under the weight sets is
+found once for the corpus and sent back to the blocks that have it, with the count that the base
+needs; there the texts are scored.
+
+Cases: a null or empty text has the end token only; without training documents the base gives each
+token probability 1 and the model half a bit's worth to each bit; a null doc_id is not held out;
+rows that repeat a doc_id are scored each.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pushflow.llm import mixing
-from pushflow.llm.blocks import bucketed, packed, release, unpack
-from pushflow.llm.common import forget, saved, trim
+from pushflow.llm import vocabulary as v
+from pushflow.llm.blocks import bucketed, packed, total_bytes, unpack
+from pushflow.llm.common import forget, trim
 
-#: Spans of the keys are 2**SPAN_BITS for each FULL bytes of training text.
-SPAN_BITS, FULL = 9, 1 << 35
+#: Bytes of text in a block: the more, the fewer units are asked for twice.
+BLOCK = 12 << 20
 
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def _tokens(body) -> tuple[list[int | None], list[list[bytes]]]:
-    rows = unpack(body.as_buffer())
-    texts = rows.column(1).cast(pa.binary()).to_pylist()
-    return rows.column(0).to_pylist(), [(x or b"").lower().split() for x in texts]
+def _trained(rows: pa.RecordBatch) -> np.ndarray:
+    return np.array([not held_out(i) for i in rows.column(0).to_pylist()], bool)
 
 
 def _trained_bytes(rows: pa.RecordBatch) -> bytes:
     """Counts of the bytes of the training texts of a block."""
-    texts = rows.column(1).cast(pa.binary()).to_pylist()
-    text = b"".join(x for i, x in zip(rows.column(0).to_pylist(), texts, strict=True) if x and not held_out(i))
-    return np.bincount(np.frombuffer(text.lower(), np.uint8), minlength=256).astype(np.int64).tobytes()
+    texts = rows.column(1).filter(pa.array(_trained(rows))).cast(pa.binary()).drop_null().to_pylist()
+    total = np.zeros(256, np.int64)
+    for x in texts:
+        total += np.bincount(np.frombuffer(x.lower(), np.uint8), minlength=256)
+    return total.tobytes()
 
 
 def _histogram(blocks: DataFrame) -> np.ndarray:
@@ -62,134 +64,139 @@ def _histogram(blocks: DataFrame) -> np.ndarray:
     return out
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The words' first bytes, then their second ones and so on: high bytes of small differences compress to nothing."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def _words(raw: bytes, kind, n: int, at: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+def _named(blocks: DataFrame, spans: int) -> DataFrame:
+    """(block, span, chunk): the units of each block, in parts."""
 
+    def work(batches):
+        for batch in batches:
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = unpack(body.as_buffer())
+                texts = mixing.laid(rows.column(1))
+                own = mixing.named(texts, spans)
+                count = mixing.counted(texts, own, _trained(rows))
+                seals = [own.chunk(i, j, count).sealed() for _, i, j in own.spans]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seals), block, np.int64)), pa.array([s for s, _, _ in own.spans], pa.int32()), pa.array(seals, pa.binary())], names=["block", "span", "chunk"])
+                del rows, texts, own, count, seals
+        trim()
 
-def _sealed(counts: mixing.Counts) -> bytes:
-    keys, pairs, n = counts
-    head = np.array([len(keys), len(pairs)], np.int64).tobytes()
-    return zstandard.compress(head + _planes(np.diff(keys, prepend=np.uint64(0))) + _planes(np.diff(pairs, prepend=0).astype(np.uint32)) + _planes(n.astype(np.int64)), 1)
+    return blocks.select("block", "body").mapInArrow(work, "block long, span int, chunk binary")
 
 
-def _opened(seal) -> mixing.Counts:
-    raw = zstandard.decompress(seal.as_buffer())
-    k, p = np.frombuffer(raw, np.int64, 2).tolist()
-    return np.cumsum(_words(raw, np.uint64, k, 16), dtype=np.uint64), np.cumsum(_words(raw, np.uint32, p, 16 + 8 * k), dtype=np.int64), _words(raw, np.int64, p, 16 + 8 * k + 4 * p)
+def _vocabulary(parts: DataFrame) -> DataFrame:
+    """(span, chunk, tokens, types): the corpus's units of each span; the words among them and how many are distinct."""
 
+    def work(t: pa.Table) -> pa.Table:
+        chunk = mixing.together([mixing.Chunk.opened(x) for x in t["chunk"]])
+        total, distinct = mixing.tokens(chunk)
+        out = pa.table({"span": t["span"][:1], "chunk": pa.array([chunk.sealed()], pa.binary()), "tokens": pa.array([total], pa.int64()), "types": pa.array([distinct], pa.int64())})
+        del chunk
+        trim()
+        return out
 
-def _spans(counts: mixing.Counts, bits: int):
-    """(span, sealed counts) of the spans that hold keys."""
-    keys, pairs, n = counts
-    span = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    first = np.flatnonzero(np.diff(span, prepend=-1))
-    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
-        lo, hi = np.searchsorted(pairs, [i * mixing.SYMBOLS, j * mixing.SYMBOLS])
-        yield int(span[i]), _sealed((keys[i:j], pairs[lo:hi] - i * mixing.SYMBOLS, n[lo:hi]))
+    return parts.select("span", "chunk").groupBy("span").applyInArrow(work, "span int, chunk binary, tokens long, types long")
 
 
-def _gathered(blocks: DataFrame, t: mixing.Tree, bits: int) -> DataFrame:
-    """One pass over the blocks: (block, word, n), how often the block's training documents have each of its
-    words, and (block, span, counts), the same of its contexts."""
+def _asked(vocabulary: DataFrame, t: mixing.Tree, bits: int) -> DataFrame:
+    """(span, keys_span, keys): the contexts of each chunk of the vocabulary, in parts, with their counts."""
 
     def work(batches):
         for batch in batches:
-            for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, tokens = _tokens(body)
-                trained = [not held_out(i) for i in ids]
-                spans = list(_spans(mixing.met([b" ".join(x) for x in tokens], trained, t), bits))
-                yield _both(block, spans=list(zip(*spans, strict=True)))
-                del spans
-                count: Counter = Counter()
-                for words, y in zip(tokens, trained, strict=True):
-                    if y:
-                        count.update(words)
-                for words, y in zip(tokens, trained, strict=True):
-                    if not y:
-                        for w in words:
-                            count.setdefault(w, 0)
-                yield _both(block, words=count)
+            for span, chunk in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                seals = list(mixing.key_spans(mixing.asked(mixing.Chunk.opened(chunk), t), bits))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seals), span, np.int32)), pa.array([s for s, _ in seals], pa.int32()), pa.array([x for _, x in seals], pa.binary())], names=["span", "keys_span", "keys"])
+                del seals
+                trim()
+
+    return vocabulary.select("span", "chunk").mapInArrow(work, "span int, keys_span int, keys binary")
+
+
+def _met(asked: DataFrame) -> DataFrame:
+    """(span, keys_span, counts): the counts that the corpus has of each part's contexts."""
+
+    def work(t: pa.Table) -> pa.Table:
+        out = pa.table({"span": t["span"], "keys_span": t["keys_span"], "counts": pa.array(mixing.summed(list(t["keys"])) if t.num_rows else [], pa.binary())})
         trim()
+        return out
 
-    return blocks.select("block", "body").mapInArrow(work, "block long, word binary, n long, span int, counts binary")
+    return asked.groupBy("keys_span").applyInArrow(work, "span int, keys_span int, counts binary")
 
 
-def _both(block: int, words: Counter | None = None, spans: list | None = None) -> pa.RecordBatch:
-    size = len(spans[0] if words is None else words)
-    own = [pa.nulls(size, k) for k in (pa.binary(), pa.int64(), pa.int32(), pa.binary())]
-    if words is None:
-        own[2:] = pa.array(spans[0], pa.int32()), pa.array(spans[1], pa.binary())
-    else:
-        own[:2] = pa.array(words, pa.binary()), pa.array(words.values(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, block, np.int64)), *own], names=["block", "word", "n", "span", "counts"])
+def _costs(vocabulary: DataFrame, met: DataFrame, t: mixing.Tree) -> DataFrame:
+    """(span, chunk, costs): the vocabulary with its costs."""
 
+    def work(chunks: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.sort_by("keys_span")["counts"]
+        seals = []
+        for x in chunks["chunk"]:
+            inside, first = mixing.costs(mixing.asked(mixing.Chunk.opened(x), t), list(told), t)
+            seals.append(v.seal(*mixing.sealed_costs(inside), *mixing.sealed_costs(first)))
+        del told
+        trim()
+        return pa.table({"span": chunks["span"], "chunk": chunks["chunk"], "costs": pa.array(seals, pa.binary())})
 
-_NONE = np.zeros(0, np.uint64)
+    return vocabulary.select("span", "chunk").groupBy("span").cogroup(met.groupBy("span")).applyInArrow(work, "span int, chunk binary, costs binary")
 
 
-def _answered(parts: DataFrame) -> DataFrame:
-    """parts(block, span, counts) with the counts that the whole corpus has of the same contexts, without their keys."""
+def _answers(parts: DataFrame, costs: DataFrame) -> DataFrame:
+    """(block, span, told): of each part's units how often they are words, and the costs of units and pairs."""
 
-    def work(rows: pa.Table) -> pa.Table:
-        parts = [_opened(x) for x in rows["counts"]]
-        total = mixing.merged(parts)
-        seals = [_sealed((_NONE, *mixing.chosen(total, keys)[1:])) for keys, _, _ in parts]
-        return pa.table([rows["block"], rows["span"], pa.array(seals, pa.binary())], names=["block", "span", "counts"])
+    def work(asked: pa.Table, told: pa.Table) -> pa.Table:
+        whole = mixing.Chunk.opened(told["chunk"][0])
+        columns = v.unseal(told["costs"][0])
+        total, pairs = whole.totals(), whole.pairs()
+        out = []
+        for x in asked["chunk"]:
+            own = mixing.Chunk.opened(x)
+            unit = v.places(own.units, whole.units)
+            pair = np.searchsorted(pairs, np.repeat(unit, own.following) * 256 + own.byte)
+            out.append(v.seal(total[unit], *[c[unit] for c in columns[: mixing.MIXES]], *[c[pair] for c in columns[mixing.MIXES :]]))
+        del whole, columns, total, pairs
+        trim()
+        return pa.table({"block": asked["block"], "span": asked["span"], "told": pa.array(out, pa.binary())})
 
-    return parts.groupBy("span").applyInArrow(work, "block long, span int, counts binary")
+    return parts.groupBy("span").cogroup(costs.groupBy("span")).applyInArrow(work, "block long, span int, told binary")
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
 def scores(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text); score is the model's log10 probability of the text."""
+    """One row per row of docs(doc_id, text); score is the model's log10 probability of the text's words and its end."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     trained = int(docs.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))).count())
-    blocks = bucketed(packed(docs, note=_trained_bytes), "block", "scored")
-    histogram = _histogram(blocks)
-    t = mixing.tree(histogram)
-    span_bits = SPAN_BITS + (int(histogram.sum()) // FULL).bit_length()
-    gathered = saved(_gathered(blocks, t, span_bits), "gathered")
-    answers = saved(_answered(gathered.where("counts is not null").select("block", "span", "counts")), "answers")
-    word = Window.partitionBy("word")
-    words = gathered.where("word is not null").select("block", "word", "n")
-    known = words.withColumn("c", F.sum("n").over(word)).withColumn("once", F.min("block").over(word) == F.col("block"))
-    known = saved(known.select("block", "word", "c", "once"), "known")
-    forget(gathered)
-    release(spark)
+    blocks = bucketed(packed(docs, BLOCK, _trained_bytes), "block", "scored")
+    t = mixing.tree(_histogram(blocks))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spans = v.span_count(total_bytes(blocks), least)
+    parts = bucketed(_named(blocks, spans), "span", "named", least)
+    vocabulary = bucketed(_vocabulary(parts), "span", "vocabulary", least)
+    sums = vocabulary.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     # the end token counts once for each training document
-    sums = known.where("once").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    total, distinct = int(sums.n or 0) + trained, int(sums.v) + bool(trained)
-
-    def work(bodies: pa.Table, own: pa.Table) -> pa.Table:
-        words = own.filter(pc.is_valid(own["word"]))
-        seen = dict(zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True))
-        said = own.filter(pc.is_valid(own["counts"])).sort_by("span")
-        parts = [(span << (64 - span_bits), _opened(x)) for span, x in zip(said["span"].to_pylist(), said["counts"], strict=True)]
-        del words, said
+    total, distinct = int(sums.tokens or 0) + trained, int(sums.types or 0) + bool(trained)
+    met = _met(_asked(vocabulary, t, (spans - 1).bit_length()))
+    costs = bucketed(_costs(vocabulary, met, t), "span", "costs", least)
+    forget(vocabulary)
+    answers = _answers(parts, costs)
+
+    def work(bodies: pa.Table, told: pa.Table) -> pa.Table:
+        answered = [v.unseal(x) for x in told.sort_by("span")["told"]]
         out = []
         for body in bodies["body"]:
-            ids, tokens = _tokens(body)
-            texts = [b" ".join(x) for x in tokens]
-            keys = mixing.met(texts, [False] * len(texts), t)[0]
-            pairs = np.concatenate([p + int(np.searchsorted(keys, np.uint64(low))) * mixing.SYMBOLS for low, (_, p, _) in parts])
-            tables = mixing.said_by((keys, pairs, np.concatenate([n for _, (_, _, n) in parts])), t)
-            bits = mixing.score(texts, t, tables, keys=keys)
-            for doc_id, words, text, b in zip(ids, tokens, texts, bits, strict=True):
-                c = np.array([seen[w] for w in words] + [trained], np.float64)
-                base = float(np.log10((c + 1) / (total + distinct + 1)).sum())
-                out.append((doc_id, held_out(doc_id), len(c), int(np.count_nonzero(c)), total, base, -float(b) * np.log10(2), float(b) / (len(text) + 1)))
-        kinds = (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3)
-        columns = list(zip(*out, strict=True)) or [[]] * 8
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    own = known.select("block", "word", "c").unionByName(answers, allowMissingColumns=True)
-    return blocks.select("block", "body").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(work, SCHEMA)
+            rows = unpack(body.as_buffer())
+            texts = mixing.laid(rows.column(1))
+            own = mixing.named(texts, spans)
+            columns = [np.concatenate(x) for x in zip(*answered, strict=True)]
+            inside = mixing.opened_costs(columns[1 : 1 + mixing.MIXES])[own.place]
+            bits = mixing.scored(texts, inside, mixing.opened_costs(columns[1 + mixing.MIXES :]), own.pair)
+            count = columns[0][own.place][texts.word]
+            row = np.repeat(np.arange(rows.num_rows), texts.words)
+            base = np.bincount(row, np.log10((count + 1.0) / (total + distinct + 1)), rows.num_rows) + np.log10((trained + 1.0) / (total + distinct + 1))
+            known = np.bincount(row, count > 0, rows.num_rows).astype(np.int64) + bool(trained)
+            columns = [rows.column(0).cast(pa.int64()), pa.array(~_trained(rows)), pa.array(texts.words + 1), pa.array(known), pa.array(np.full(rows.num_rows, total)), pa.array(base), pa.array(-bits * np.log10(2)), pa.array(bits / np.maximum(texts.size - (texts.words > 0), 1))]
+            out.append(pa.table(columns, names=[x.split()[0] for x in SCHEMA.split(", ")]))
+            del rows, texts, own, columns, inside, bits, count, row
+        trim()
+        return pa.concat_tables(out)
+
+    return blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, SCHEMA)
