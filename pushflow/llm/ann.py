@@ -8,13 +8,17 @@ nearest to. What the buckets hold is reranked by exact distance of the original
 Rows with equal vectors are one class, which keeps its TOP + 1 smallest vec_ids: no other
 row of the class can be among the TOP nearest of any query. Classes, not rows, are
 indexed. A bucket of more than CHUNK classes is dealt out over several groups and the
-queries that visit it are sent to each; a group gives the best TOP + 1 of each query, so
-what is shuffled grows with queries and probes, not with pairs.
-
-The number of probes is fitted: on FIT_QUERIES queries whose true neighbours one pass over
-all vectors finds, the smallest that reaches TARGET of them. The number of axes follows
-the number of vectors. A query for which the visited buckets hold too few candidates
-visits every bucket of the first table, which is exact.
+queries that visit it are sent to each, and so is one that more than ASKED queries visit; a
+group gives the best TOP + 1 of each query, so what is shuffled grows with queries and probes,
+not with pairs.
+
+The buckets nearest to a query are found without listing all: sums of one nearness an axis, of
+which the k largest only take combinations whose places, counted from 1 on each axis, multiply
+to at most k. The number of probes is fitted on FIT_QUERIES vectors that are not queries (where
+there are any), whose true neighbours one pass over all vectors finds: the smallest that reaches
+TARGET of them. The number of axes follows the number of vectors. A query for which the visited
+buckets hold too few candidates visits MORE times as many, and so on until it has enough or has
+visited all.
 
 Cases: vectors that are null, empty, all zero or hold null or non-finite components take
 no part; vectors are compared with those of their own length only; repeated rows of one
@@ -35,10 +39,13 @@ from pushflow.llm.common import maybe_broadcast, saved
 TOP = 10
 TABLES = 8
 CHUNK = 4_000
+#: Queries of a bucket in one group.
+ASKED = 2_000
 #: Vectors from which a bucket has one more axis: so many in a bucket of the smaller kind.
 CROWDED = 4_000
 FIT_QUERIES = 96
 TARGET = 0.97
+MORE = 8
 
 
 def usable(vector: Column) -> Column:
@@ -81,13 +88,47 @@ def bucket_of(vectors: np.ndarray, table: int, axes: int) -> np.ndarray:
     return out
 
 
-def nearness(vectors: np.ndarray, table: int, axes: int) -> np.ndarray:
-    """Nearness of each vector to every bucket of a table."""
-    out = np.zeros((len(vectors), 1))
+def combinations(k: int, axes: int, size: int) -> np.ndarray:
+    """Places on each axis, from 0 on, of the combinations that the k largest sums may be of."""
+    if axes == 0:
+        return np.zeros((1, 0), np.int64)
+    out = []
+    for i in range(min(k, size)):
+        rest = combinations(k // (i + 1), axes - 1, size)
+        out.append(np.concatenate([np.full((len(rest), 1), i), rest], axis=1))
+    return np.concatenate(out)
+
+
+def probed(vectors: np.ndarray, table: int, axes: int, k: int) -> np.ndarray:
+    """The k buckets of a table that each vector is nearest to, or all; memory grows with k, not with the buckets."""
+    size = width(vectors.shape[1])
+    k = min(k, size**axes)
+    places = combinations(k, axes, size)
+    total, bucket = np.zeros((len(vectors), len(places))), np.zeros((len(vectors), len(places)), np.int64)
     for a in range(axes):
         near = rotated(vectors, table, a)
-        out = (out[:, :, None] + near[:, None, :]).reshape(len(vectors), -1)
-    return out
+        order = np.argsort(-near, axis=1, kind="stable")
+        total += np.take_along_axis(near, order, axis=1)[:, places[:, a]]
+        bucket = bucket * size + order[:, places[:, a]]
+    best = np.argpartition(-total, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(bucket, best, axis=1)
+
+
+def place_of(vector: np.ndarray, bucket: np.ndarray, table: int, axes: int) -> np.ndarray:
+    """How many buckets of a table a vector is nearer to than to each of some: counted from sums over half of the axes."""
+    size = width(len(vector))
+    near = [rotated(vector[None], table, a)[0] for a in range(axes)]
+    own, rest = np.zeros(len(bucket)), bucket
+    for a in reversed(range(axes)):
+        own, rest = own + near[a][rest % size], rest // size
+    halves = []
+    for half in (near[: axes // 2], near[axes // 2 :]):
+        sums = np.zeros(1)
+        for x in half:
+            sums = (sums[:, None] + x).ravel()
+        halves.append(np.sort(sums))
+    few, many = halves
+    return np.array([int((len(many) - np.searchsorted(many, x - few + 1e-12, "right")).sum()) for x in own], np.int64)
 
 
 def _key(d: int, table: int, bucket: np.ndarray) -> np.ndarray:
@@ -120,18 +161,18 @@ def _points(classes: DataFrame, axes: int, tables: int) -> DataFrame:
 
 
 def _probes(queries: DataFrame, axes: int, tables: int, probes: int) -> DataFrame:
-    """A row for each bucket that a query visits; all buckets where probes says so."""
+    """A row for each bucket that a query visits."""
 
     def work(batches):
         for batch in batches:
             for at, vectors in _vectors(batch.column(1)):
                 part = batch.take(pa.array(at))
-                for i in range(0, len(at), 64):
+                size = width(vectors.shape[1])
+                few = max(1, min(64, (1 << 22) // len(combinations(min(probes, size**axes), axes, size))))
+                for i in range(0, len(at), few):
                     for t in range(tables):
-                        near = nearness(vectors[i : i + 64], t, axes)
-                        k = min(probes, near.shape[1])
-                        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                        rows = pa.array(np.repeat(np.arange(i, i + len(near)), k))
+                        best = probed(vectors[i : i + few], t, axes, probes)
+                        rows = pa.array(np.repeat(np.arange(i, i + len(best)), best.shape[1]))
                         yield pa.RecordBatch.from_arrays([pa.array(_key(vectors.shape[1], t, best.ravel())), *part.take(rows).columns], names=["bucket", "cls", "vector"])
 
     kind = queries.schema["vector"].dataType.simpleString()
@@ -154,11 +195,14 @@ MATCHES = "query long, cls long, first long, score double"
 
 def _search(points: DataFrame, probes: DataFrame) -> DataFrame:
     """The best classes of every query, from the buckets it visits."""
-    crowded = points.groupBy("bucket").count().where(F.col("count") > CHUNK).select("bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"))
-    crowded = maybe_broadcast(saved(crowded, "crowded"))
-    parts = F.coalesce("parts", F.lit(1))
-    left = points.join(crowded, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).drop("parts")
-    right = probes.join(crowded, "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    sizes = points.groupBy("bucket").count().where(F.col("count") > CHUNK).select("bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"))
+    visits = probes.groupBy("bucket").count().where(F.col("count") > ASKED).select("bucket", F.ceil(F.col("count") / ASKED).cast("int").alias("lots"))
+    crowded = maybe_broadcast(saved(sizes.join(visits, "bucket", "full_outer"), "crowded"))
+    parts, lots = F.coalesce("parts", F.lit(1)), F.coalesce("lots", F.lit(1))
+    own = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = points.join(crowded, "bucket", "left").withColumn("part", own(parts, 3)).withColumn("lot", every(lots)).drop("parts", "lots")
+    right = probes.join(crowded, "bucket", "left").withColumn("lot", own(lots, 5)).withColumn("part", every(parts)).drop("parts", "lots")
 
     def match(a: pa.Table, b: pa.Table) -> pa.Table:
         out = []
@@ -171,7 +215,7 @@ def _search(points: DataFrame, probes: DataFrame) -> DataFrame:
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
         return pa.table([pa.array(c.astype(k)) for c, k in zip(columns, ("i8", "i8", "i8", "f8"), strict=True)], names=["query", "cls", "first", "score"])
 
-    found = left.groupBy("bucket", "part").cogroup(right.groupBy("bucket", "part")).applyInArrow(match, MATCHES)
+    found = left.groupBy("bucket", "part", "lot").cogroup(right.groupBy("bucket", "part", "lot")).applyInArrow(match, MATCHES)
     return _top(found.distinct())
 
 
@@ -182,7 +226,9 @@ def _top(found: DataFrame) -> DataFrame:
 
 def fitted_probes(classes: DataFrame, queries: DataFrame, axes: int, tables: int) -> int:
     """The smallest number of probes that reaches TARGET of the true neighbours of a few queries."""
-    sample = queries.orderBy(F.xxhash64("cls", F.lit(1)), "cls").select("cls", "vector").limit(FIT_QUERIES).collect()
+    others = classes.join(queries.select("cls"), "cls", "left_anti")
+    pick = lambda rows: rows.select("cls", "vector").orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(FIT_QUERIES).collect()
+    sample = pick(others) or pick(queries)
     own = [(r.cls, np.asarray(r.vector, np.float64)) for r in sample]
     kind = classes.schema["vector"].dataType.simpleString()
 
@@ -200,9 +246,7 @@ def fitted_probes(classes: DataFrame, queries: DataFrame, axes: int, tables: int
     true = _top(classes.select("cls", "first", "vector").mapInArrow(work, f"{MATCHES}, vector {kind}")).where("query <> cls").collect()
     at, ranks = dict(own), []
     for t in range(tables):
-        near = {c: nearness(q[None], t, axes)[0] for c, q in at.items()}
-        place = {c: np.argsort(np.argsort(-x)) for c, x in near.items()}
-        ranks.append([place[r["query"]][bucket_of(np.asarray(r.vector, np.float64)[None], t, axes)[0]] for r in true])
+        ranks.append([place_of(at[r["query"]], bucket_of(np.asarray(r.vector, np.float64)[None], t, axes), t, axes)[0] for r in true])
     best = np.sort(np.min(np.array(ranks), axis=0)) if true else np.zeros(1)
     return int(best[min(len(best) - 1, int(np.ceil(TARGET * len(best))) - 1)]) + 1
 
@@ -222,11 +266,14 @@ def neighbours(rows: DataFrame, is_query: Column, tables: int = TABLES) -> DataF
     found = saved(_search(points, _probes(queries, axes, tables, probes)), "found")
     ids = classes.select("cls", "ids")
     # a class has its own query's vec_id at most once, so TOP + 1 ids are TOP candidates
-    have = found.join(ids, "cls").groupBy("query").agg(F.sum(F.size("ids")).alias("have"))
-    short = saved(queries.join(have, F.col("cls") == F.col("query"), "left").where(F.coalesce("have", F.lit(0)) <= TOP).select("cls", "vector"), "short")
-    if short.limit(1).count():
-        more = _search(_points(classes, axes, 1), _probes(short, axes, 1, 1 << 40))
-        found = found.join(short.select(F.col("cls").alias("query")), "query", "left_anti").unionByName(more)
+    while probes < width(told.d or 1) ** axes:
+        have = found.join(ids, "cls").groupBy("query").agg(F.sum(F.size("ids")).alias("have"))
+        short = saved(queries.join(have, F.col("cls") == F.col("query"), "left").where(F.coalesce("have", F.lit(0)) <= TOP).select("cls", "vector"), "short")
+        if not short.limit(1).count():
+            break
+        probes *= MORE
+        more = _search(points, _probes(short, axes, tables, probes))
+        found = saved(found.join(short.select(F.col("cls").alias("query")), "query", "left_anti").unionByName(more), "found")
     each = found.join(ids, "cls").select(F.col("query").alias("cls"), "score", F.explode("ids").alias("vec_id"))
     few = Window.partitionBy("cls").orderBy("score", "vec_id")
     each = each.withColumn("at", F.row_number().over(few)).where(F.col("at") <= TOP + 1).drop("at")
