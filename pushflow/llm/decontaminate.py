@@ -12,8 +12,12 @@ has a sketch value of an item is a candidate; every candidate pair is then confi
 the full sets: exact containment of the item's distinct shingles.
 
 Cases: an item or document with fewer words than a shingle has its whole sequence as one
-shingle; null and wordless ones have none and match nothing; repeated rows of documents
-give one pair, counted over their common set; an empty table on either side gives no rows.
+shingle; null and wordless ones have none and match nothing. Every row of documents is held
+against every item by itself: rows that repeat a doc_id, or have none, are not merged, and a
+pair (doc_id, item_id) is reported once, with the most that a row of the doc_id shares with a
+text of the item; null ids are reported as null. Equal sets are searched once, whatever the
+item_ids they come under. An empty table on either side gives no rows; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -51,23 +55,43 @@ def sketch_size(n: Column, percent: int) -> Column:
     return F.least(n, (F.floor(upper * (100 - percent) / 100) + 1).cast("int"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Pairs (doc_id, item_id, n_item, n_shared, containment) with n_shared / n_item >= percent / 100.
+def _found(docs: DataFrame, items: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, number, n_item, n_shared) of the rows of docs that hold a set of the items, and (number, item_id).
 
     Items are the small side. Their sketches, and their shingles, are broadcast up to a
     counted bound; beyond it the joins shuffle on the shingle.
     """
-    sets = items.select("item_id", F.array_sort(word_shingles(F.col("text"), width)).alias("set")).where(F.size("set") > 0).withColumn("n_item", F.size("set"))
-    sets = saved(sets.dropDuplicates(["item_id", "set"]), "items")
+    owned = items.select("item_id", F.array_sort(word_shingles(F.col("text"), width)).alias("set")).where(F.size("set") > 0).distinct()
+    # a number for each distinct set, written down, so that it stays the set's
+    sets = saved(owned.select("set").distinct().select(F.monotonically_increasing_id().alias("number"), "set", F.size("set").alias("n_item")), "items")
     # one more hash makes the order of the sketch independent of the shingle's own value
     ordered = F.array_sort(F.transform("set", lambda x: F.struct(F.xxhash64(x, F.lit(7)).alias("h"), x.alias("s"))))
-    sketch = sets.select("item_id", F.explode(F.slice(ordered, F.lit(1), sketch_size(F.col("n_item"), percent))).alias("e")).select("item_id", F.col("e.s").alias("shingle"))
-    rows = docs.select("doc_id", word_shingles(F.col("text"), width).alias("set"))
-    candidates = rows.select("doc_id", F.explode("set").alias("shingle")).join(maybe_broadcast(sketch, BROADCAST_SHINGLES), "shingle").select("doc_id", "item_id").distinct()
+    sketch = sets.select("number", F.explode(F.slice(ordered, F.lit(1), sketch_size(F.col("n_item"), percent))).alias("e")).select("number", F.col("e.s").alias("shingle"))
+    # a row is its doc_id and its text
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), word_shingles(F.col("text"), width).alias("set"))
+    candidates = rows.select("doc_id", "row", F.explode("set").alias("shingle")).join(maybe_broadcast(sketch, BROADCAST_SHINGLES), "shingle").select("doc_id", "row", "number").distinct()
     candidates = saved(candidates, "candidates")
-    found = candidates.select("doc_id").distinct()
-    again = docs.select("doc_id", "text").join(maybe_broadcast(found), "doc_id", "left_semi").select("doc_id", F.explode(word_shingles(F.col("text"), width)).alias("shingle"))
-    full = sets.select("item_id", "n_item", F.explode("set").alias("shingle"))
-    shared = again.join(maybe_broadcast(full, BROADCAST_SHINGLES), "shingle").groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("shingle").alias("n_shared"))
+    found = candidates.select(F.col("doc_id").alias("own_id"), F.col("row").alias("own_row")).distinct()
+    same_row = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("row") == F.col("own_row"))
+    again = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").join(maybe_broadcast(found), same_row, "left_semi")
+    again = again.select("doc_id", "row", F.explode(word_shingles(F.col("text"), width)).alias("shingle"))
+    full = sets.select("number", "n_item", F.explode("set").alias("shingle"))
+    # repeated rows have their shingles several times
+    shared = again.join(maybe_broadcast(full, BROADCAST_SHINGLES), "shingle").groupBy("doc_id", "row", "number", "n_item").agg(F.count_distinct("shingle").alias("n_shared"))
     shared = shared.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
-    return shared.join(candidates, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    return shared, owned.join(sets, "set").select("number", "item_id")
+
+
+def leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Pairs (doc_id, item_id, n_item, n_shared, containment) with n_shared / n_item >= percent / 100."""
+    shared, names = _found(docs, items, width, percent)
+    best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), F.col("n_item").cast("long").alias("n_item"), F.col("n_shared").alias("n_shared"))).alias("best")
+    return shared.join(maybe_broadcast(names), "number").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_item", "best.n_shared", "best.containment")
+
+
+def clean(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the rows that hold an item, those without doc_id among them."""
+    found = _found(docs, items, width, percent)[0].select(F.col("doc_id").alias("own_id"), F.col("row").alias("own_row")).distinct()
+    leaking = maybe_broadcast(saved(found, "leaking"))
+    same_row = docs["doc_id"].eqNullSafe(leaking["own_id"]) & (F.xxhash64(docs["text"]) == leaking["own_row"])
+    return docs.join(leaking, same_row, "left_anti")

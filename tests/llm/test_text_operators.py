@@ -166,12 +166,25 @@ def test_leaks_equal_plain(spark):
     docs += [(60, None), (61, ""), (1, docs[1][1]), (None, items[5][1])]
     d = spark.createDataFrame([(*x, 0) for x in docs], "doc_id long, text string, item_id int").select("doc_id", "text")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = {(i, j) for i, t in docs for j, q in items if i is not None and five(q) and len(five(q) & five(t)) >= 0.8 * len(five(q))}
-    assert got == want
+    leaking = lambda t, q: five(q) and len(five(q) & five(t)) >= 0.8 * len(five(q))
+    assert got == {(i, j) for i, t in docs for j, q in items if leaking(t, q)}
+    left = decontaminate.clean(d.withColumn("own_id", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted((x for x in docs if not any(leaking(x[1], q) for _, q in items)), key=str)
     assert decontaminate.leaks(d.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontaminate.leaks(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_repeated_ids(spark):
+    """Two texts under one item_id, or one doc_id, are held apart, and a long text holds one word's item."""
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    items = spark.createDataFrame([(7, one), (7, two), (None, two), (8, "zzz")], "item_id long, text string")
+    half = "a b c d e f g x k l m n o p q"
+    docs = [(1, f"{one} {two}"), (2, half), (3, "a b c d e f g"), (3, "d e f g h i j"), (4, two), (None, one), (None, half), (5, "long " * 60_000 + "zzz"), (6, "zzz")]
+    d = spark.createDataFrame([(*x, 0) for x in docs], "doc_id long, text string, item_id int").drop("item_id")
+    rows = decontaminate.leaks(d, items).collect()
+    assert sorted(((r.doc_id, r.item_id, r.n_item, r.n_shared, r.containment) for r in rows), key=str) == sorted([(1, 7, 6, 6, 1.0), (1, None, 6, 6, 1.0), (4, 7, 6, 6, 1.0), (4, None, 6, 6, 1.0), (None, 7, 6, 6, 1.0), (6, 8, 1, 1, 1.0)], key=str)
+
+
 # ---------------------------------------------------------------- quality
 def test_quality_held_out(spark):
     rng = random.Random(4)
