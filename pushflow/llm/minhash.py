@@ -70,7 +70,7 @@ def set_keys(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, key (null without a set) and band keys of every row."""
+    """doc_id, row (a hash of the text), n_shingles, key (null without a set) and band keys of every row."""
 
     def work(batches):
         for batch in slices(batches, most=1 << 20):
@@ -82,11 +82,11 @@ def _sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             has = counts > 0
             ends = np.concatenate([[0], np.cumsum(has)]) * bands
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(set_keys(values, counts).view(np.int64), mask=~has), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band.ravel().view(np.int64)))],
-                names=["doc_id", "n_shingles", "key", "bands"],
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(counts, pa.int64()), pa.array(set_keys(values, counts).view(np.int64), mask=~has), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band.ravel().view(np.int64)))],
+                names=["doc_id", "row", "n_shingles", "key", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, key long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(work, "doc_id long, row long, n_shingles long, key long, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -165,8 +165,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     At similarity s a pair is missed with probability (1 - s**rows)**bands: 1e-6 at the
     default for 0.85, 5e-5 for 0.8.
     """
+    judged = _judged(docs, width, percent, bands, rows)
+    of_class = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return judged.select("doc_id", "n_shingles", of_class.alias("component_id"), F.coalesce(F.col("doc_id") == of_class, F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5) -> DataFrame:
+    """docs(doc_id, text, ...) with one row of each component: that of smallest doc_id, those without one last,
+    and of these that of smallest text hash. Rows without a set stay; rows equal in doc_id and text go or stay together.
+    """
+    judged = _judged(docs, width, percent, bands, rows).where("key is not null")
+    gone = judged.where(~F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("own_id"), F.col("row").alias("own_row")).distinct()
+    gone = maybe_broadcast(saved(gone, "copies"))
+    same_row = docs["doc_id"].eqNullSafe(gone["own_id"]) & (F.xxhash64(docs["text"]) == gone["own_row"])
+    return docs.join(gone, same_row, "left_anti")
+
+
+def _judged(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, row, n_shingles and key of every row, and of its component the smallest doc_id and the first row."""
     sketch = saved(_sketch(docs, width, bands, rows), "sketch")
-    classes = saved(sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    classes = saved(sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), first, F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), "n")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = saved(members.join(sizes, "bucket"), "buckets")  # members of buckets of two or more
@@ -194,14 +213,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = links.union(_verify(saved(pairs, "open-pairs"), classes, docs, width, percent, "pairs"))
     part = components(links)
-    whole = classes.join(part, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("part"))
-    least = whole.groupBy("part").agg(F.min("rep").alias("least"))
-    of_class = whole.join(least, "part").select("key", "least")
-    return (
-        sketch.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
-        .withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
-    )
+    whole = classes.join(part, F.col("key") == F.col("node"), "left").select("key", "rep", "first", F.coalesce("component", "key").alias("part"))
+    least = whole.groupBy("part").agg(F.min("rep").alias("least"), F.min("first").alias("first"))
+    of_class = whole.select("key", "part").join(least, "part").select("key", "least", "first")
+    return sketch.select("doc_id", "row", "n_shingles", "key").join(of_class, "key", "left")
 
 
 def missed(similarity: float, bands: int = 25, rows: int = 5) -> float:
