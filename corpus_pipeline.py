@@ -1,7 +1,7 @@
 """A training-corpus pipeline over the documents table, one operator a stage.
 
-Rows without doc_id cannot be named by a decision on documents: stages two and three let
-them pass. Rows that repeat a doc_id share its decisions.
+A document is a row: rows that repeat a doc_id, or have none, are judged by their own texts.
+Rows equal in doc_id and text go or stay together.
 """
 
 from __future__ import annotations
@@ -12,15 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pushflow.llm import decontaminate, minhash, pieces, quality, secrets
-from pushflow.llm.common import maybe_broadcast, saved, table
+from pushflow.llm.common import saved, table
 from pushflow.llm.queries import PIECES
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in ids; ids are broadcast up to a counted bound."""
-    return docs.join(maybe_broadcast(ids), "doc_id", "left_anti").select(docs.columns)
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose posterior of being acceptable is under one half."""
     labels = table(spark, sf_dir, "labels")
@@ -29,15 +24,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near duplicates: five words, similarity 0.8."""
-    judged = minhash.near_duplicates(docs)
-    return _without(docs, saved(judged.where("not kept and doc_id is not null").select("doc_id").distinct(), "copies"))
+    """Keeps one document of each group of near duplicates, that of smallest doc_id: five words, similarity 0.8."""
+    return minhash.deduplicated(docs)
 
 
 def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold four fifths or more of a benchmark item's five-word shingles."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, saved(found.select("doc_id").distinct(), "leaking"))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
