@@ -20,11 +20,17 @@ def dlq_candidates(queues: DataFrame, members: DataFrame, stored: DataFrame) ->
     return direct.union(own).union(of_members).union(stored.select("dlq_topic")).distinct()
 
 
-def dlq_sources(candidates: DataFrame, letters: DataFrame) -> DataFrame:
-    """Capped count and kind of every candidate, those without letters too."""
+def dlq_sources(candidates: DataFrame, letters: DataFrame, groups: DataFrame) -> DataFrame:
+    """Capped count, kind, label and queue of every candidate, those without letters too; most letters first, then by label."""
     counts = letters.groupBy("dlq_topic").agg(F.count("*").alias("n"))
-    rows = candidates.join(counts, "dlq_topic", "left")
-    return rows.select("dlq_topic", S.source_kind(F.col("dlq_topic")).alias("kind"), F.least(F.coalesce("n", F.lit(0)), F.lit(DLQ_CAP)).cast("long").alias("count"))
+    topic, kind = F.col("dlq_topic"), S.source_kind(F.col("dlq_topic"))
+    queue = F.when(kind == "direct", S.DIRECT).when(kind == "queue", F.regexp_replace(topic, r"\.__dlq$", ""))
+    ids = F.split(F.regexp_extract(topic, r"^__group\.(.*)\.__dlq$", 1), r"\.", 2)
+    names = groups.select(F.col("group_id").cast("string").alias("_group"), F.col("name").alias("_name"))
+    rows = candidates.join(counts, "dlq_topic", "left").withColumn("_group", F.get(ids, F.lit(0))).withColumn("_member", F.get(ids, F.lit(1))).join(names, "_group", "left")
+    label = F.when(kind == "direct", "Direct publish").when(kind == "group_member", F.concat(F.lit("Group "), F.coalesce("_name", "_group"), F.lit(" → "), "_member")).when(kind == "queue", F.concat(F.lit("Queue: "), queue)).otherwise(topic)
+    count = F.least(F.coalesce("n", F.lit(0)), F.lit(DLQ_CAP)).cast("long")
+    return rows.select("dlq_topic", kind.alias("kind"), label.alias("label"), queue.alias("queue"), count.alias("count")).orderBy(F.desc("count"), "label")
 
 
 def dlq_list(letters: DataFrame, topic: str, limit: int = 10) -> DataFrame:

@@ -93,6 +93,16 @@ def merge_http_spec(rows: DataFrame) -> DataFrame:
     return rows.withColumn("http_method", F.coalesce(clean(F.col("method")), clean(F.col("request_method")), F.lit("POST"))).withColumn("signed", F.coalesce("sign", "request_sign", F.lit(False)))
 
 
+#: Methods that have no body, and those that are known; another one is a POST.
+BODILESS, METHODS = ("GET", "HEAD"), ("GET", "HEAD", "POST", "PUT", "PATCH", "DELETE", "OPTIONS")
+
+
+def outbound(rows: DataFrame) -> DataFrame:
+    """rows(http_method, payload, ..) as they are pushed: GET and HEAD carry no body."""
+    method = F.when(F.col("http_method").isin(*METHODS), F.col("http_method")).otherwise("POST")
+    return rows.withColumn("http_method", method).withColumn("body", F.when(~F.col("http_method").isin(*BODILESS), F.col("payload"))).drop("payload")
+
+
 def parse_headers(rows: DataFrame) -> DataFrame:
     """headers as JSON, an object or an array of pairs or "K: v" lines, to rows (.., name, value); the last of equal names counts."""
     text = F.trim("headers")

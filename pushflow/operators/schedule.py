@@ -23,10 +23,23 @@ def delayed_order(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(order.map(lambda x: (x[0][0], x[1] + 1)), "message_id long, place long")
 
 
-def interval_tick(jobs: DataFrame, now_ms: int) -> DataFrame:
-    """jobs(next_run_ms, every_seconds, paused): due ones fire once, whatever they missed, and go on from now."""
+def _next_from(jobs: DataFrame, now_ms: int, which: Column) -> DataFrame:
+    """jobs(job, expression, every_seconds, next_run_ms, ..): the next run after now of those that `which` marks."""
+    cron = jobs.where(which & F.col("every_seconds").isNull()).select("job", "expression", F.lit(now_ms).alias("after_ms"))
+    found = next_runs(cron).select("job", F.col("next_run_ms").alias("_cron"))
+    every = F.lit(now_ms) + F.col("every_seconds") * 1000
+    return jobs.join(found, "job", "left").withColumn("next_run_ms", F.when(which, F.coalesce(every, "_cron")).otherwise(F.col("next_run_ms"))).drop("_cron")
+
+
+def tick(jobs: DataFrame, now_ms: int) -> DataFrame:
+    """jobs(job, expression, every_seconds, next_run_ms, paused): due ones fire once, whatever they missed, and go on from now."""
     due = ~F.col("paused") & (F.col("next_run_ms") <= now_ms)
-    return jobs.withColumn("fired", due).withColumn("next_run_ms", F.when(due, F.lit(now_ms) + F.col("every_seconds") * 1000).otherwise(F.col("next_run_ms")))
+    return _next_from(jobs.withColumn("fired", due), now_ms, F.col("fired"))
+
+
+def resume(jobs: DataFrame, now_ms: int) -> DataFrame:
+    """Paused jobs go on, from now; what they missed is not made up for."""
+    return _next_from(jobs, now_ms, F.col("paused")).withColumn("paused", F.lit(False))
 
 
 def valid_schedule(expression: Column, every_seconds: Column) -> Column:

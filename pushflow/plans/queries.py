@@ -282,6 +282,14 @@ def merge_http_spec(spark, d):
     return resolve.merge_http_spec(rows).select("message_id", "http_method", "signed")
 
 
+@_query("webhook_sink", "SELECT message_id, CASE WHEN message_id % 4 = 0 THEN 'GET' WHEN message_id % 4 = 1 THEN 'HEAD' WHEN message_id % 4 = 2 THEN 'PUT' ELSE 'POST' END AS http_method, CASE WHEN message_id % 4 > 1 THEN payload END AS body FROM messages")
+def webhook_sink(spark, d):
+    """What the push sink sends."""
+    i = F.col("message_id")
+    rows = T.messages(spark, d).select("message_id", "payload", F.when(i % 4 == 0, "get").when(i % 4 == 1, " Head ").when(i % 4 == 2, "PUT").otherwise("brew").alias("method"), F.lit(None).cast("string").alias("request_method"), F.lit(None).cast("boolean").alias("sign"), F.lit(None).cast("boolean").alias("request_sign"))
+    return resolve.outbound(resolve.merge_http_spec(rows)).select("message_id", "http_method", "body")
+
+
 @_query("parse_headers", "SELECT message_id, 'Authorization' AS name, 'Bearer ' || message_id AS value FROM messages WHERE message_id % 2 = 0 UNION ALL SELECT message_id, 'X-Custom', message_id::VARCHAR FROM messages WHERE message_id % 2 = 1 UNION ALL SELECT message_id, 'Accept', 'a/b: c' FROM messages WHERE message_id % 2 = 1")
 def parse_headers(spark, d):
     i = F.col("message_id")
@@ -462,13 +470,16 @@ def union_dlq_candidates(spark, d):
 
 
 _SOURCES = f"""{_OUTCOMES}, candidates AS ({_CANDIDATES}), counts AS (SELECT topic || '.__dlq' AS dlq_topic, count(*) AS n FROM outcomes WHERE outcome <> 'delivered' GROUP BY ALL),
- sources AS (SELECT dlq_topic, CASE WHEN dlq_topic = '__direct.__dlq' THEN 'direct' WHEN starts_with(dlq_topic, '__group.') THEN 'group_member' ELSE 'queue' END AS kind, least(coalesce(n, 0), 10000) AS count FROM candidates LEFT JOIN counts USING (dlq_topic))"""
+ sources AS (SELECT dlq_topic, CASE WHEN dlq_topic = '__direct.__dlq' THEN 'direct' WHEN starts_with(dlq_topic, '__group.') THEN 'group_member' ELSE 'queue' END AS kind,
+   CASE WHEN dlq_topic = '__direct.__dlq' THEN 'Direct publish' WHEN starts_with(dlq_topic, '__group.') THEN 'Group ' || name || ' → ' || split_part(dlq_topic, '.', 3) ELSE 'Queue: ' || replace(dlq_topic, '.__dlq', '') END AS label,
+   CASE WHEN NOT starts_with(dlq_topic, '__group.') THEN replace(dlq_topic, '.__dlq', '') END AS queue, least(coalesce(n, 0), 10000) AS count
+  FROM candidates LEFT JOIN counts USING (dlq_topic) LEFT JOIN groups_ ON dlq_topic LIKE '\\_\\_group.' || group_id || '.%' ESCAPE '\\')"""
 
 
 @_query("agg_dlq_sources", f"{_SOURCES} SELECT * FROM sources")
 def agg_dlq_sources(spark, d):
     letters = _letters(spark, d)
-    return inspect.dlq_sources(inspect.dlq_candidates(T.queues(spark, d), T.members(spark, d), letters), letters)
+    return inspect.dlq_sources(inspect.dlq_candidates(T.queues(spark, d), T.members(spark, d), letters), letters, T.groups(spark, d))
 
 
 _query("agg_dashboard_totals", f"{_SOURCES} SELECT sum(count)::BIGINT AS dead_letters, count_if(count > 0) AS sources, (SELECT count(*) FROM messages WHERE delay_ms IS NOT NULL) AS scheduled FROM sources")(lambda spark, d: inspect.dashboard(agg_dlq_sources(spark, d), T.messages(spark, d).where("delay_ms is not null")))
@@ -594,13 +605,16 @@ _query("delayed_cancel", "SELECT message_id FROM messages WHERE delay_ms IS NOT
 
 
 def _jobs(spark, d):
+    """Intervals, and every fourth a cron expression: daily at nine."""
     s = F.col("s_suppkey")
-    return T.read(spark, d, "supplier").select(s.alias("job"), (F.lit(NOW) - 50_000 + s * 1000).alias("next_run_ms"), (s % 30 + 1).alias("every_seconds"), (s % 6 == 0).alias("paused"))
+    cron = s % 4 == 0
+    return T.read(spark, d, "supplier").select(s.alias("job"), F.when(cron, "0 9 * * *").alias("expression"), F.when(~cron, s % 30 + 1).alias("every_seconds"), (F.lit(NOW) - 50_000 + s * 1000).alias("next_run_ms"), (s % 6 == 0).alias("paused"))
 
 
-_JOBS = f", jobs AS (SELECT s_suppkey AS job, {NOW} - 50000 + s_suppkey * 1000 AS next_run_ms, s_suppkey % 30 + 1 AS every_seconds, s_suppkey % 6 = 0 AS paused FROM supplier)"
-_query("cron_tick", f"{_JOBS} SELECT job, NOT paused AND next_run_ms <= {NOW} AS fired, CASE WHEN NOT paused AND next_run_ms <= {NOW} THEN {NOW} + every_seconds * 1000 ELSE next_run_ms END AS next_run_ms FROM jobs")(lambda spark, d: schedule.interval_tick(_jobs(spark, d), NOW).select("job", "fired", "next_run_ms"))
-_query("cron_pause_resume", f"{_JOBS} SELECT job, CASE WHEN paused THEN {NOW} + every_seconds * 1000 ELSE next_run_ms END AS next_run_ms FROM jobs")(lambda spark, d: _jobs(spark, d).select("job", F.when(F.col("paused"), F.lit(NOW) + F.col("every_seconds") * 1000).otherwise(F.col("next_run_ms")).alias("next_run_ms")))
+_JOBS = f""", jobs AS (SELECT s_suppkey AS job, {NOW} - 50000 + s_suppkey * 1000 AS next_run_ms, s_suppkey % 6 = 0 AS paused,
+  CASE WHEN s_suppkey % 4 > 0 THEN {NOW} + (s_suppkey % 30 + 1) * 1000 ELSE {NOW} // 86400000 * 86400000 + CASE WHEN {NOW} % 86400000 >= 32400000 THEN 86400000 ELSE 0 END + 32400000 END AS from_now FROM supplier)"""
+_query("cron_tick", f"{_JOBS} SELECT job, NOT paused AND next_run_ms <= {NOW} AS fired, CASE WHEN NOT paused AND next_run_ms <= {NOW} THEN from_now ELSE next_run_ms END AS next_run_ms FROM jobs")(lambda spark, d: schedule.tick(_jobs(spark, d), NOW).select("job", "fired", "next_run_ms"))
+_query("cron_pause_resume", f"{_JOBS} SELECT job, CASE WHEN paused THEN from_now ELSE next_run_ms END AS next_run_ms, FALSE AS paused FROM jobs")(lambda spark, d: schedule.resume(_jobs(spark, d), NOW).select("job", "next_run_ms", "paused"))
 _query("next_run", f"SELECT s_suppkey AS job, ({NOW} + s_suppkey * 60000) // 86400000 * 86400000 + CASE WHEN ({NOW} + s_suppkey * 60000) % 86400000 >= 32400000 THEN 86400000 ELSE 0 END + 32400000 AS next_run_ms FROM supplier")(
     lambda spark, d: schedule.next_runs(T.read(spark, d, "supplier").select(F.col("s_suppkey").alias("job"), F.lit("0 9 * * *").alias("expression"), (F.lit(NOW) + F.col("s_suppkey") * 60_000).alias("after_ms"))).select("job", "next_run_ms")
 )

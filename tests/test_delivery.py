@@ -172,8 +172,8 @@ def test_catalogue(spark):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "dlq_topic string")
-    sources = inspect.dlq_sources(spark.createDataFrame([("__direct.__dlq",)], "dlq_topic string"), none)
-    assert rows(sources) == [("__direct.__dlq", "direct", 0)]
+    sources = inspect.dlq_sources(spark.createDataFrame([("__direct.__dlq",)], "dlq_topic string"), none, spark.createDataFrame([], "group_id long, name string"))
+    assert rows(sources) == [("__direct.__dlq", "direct", "Direct publish", "__direct", 0)]
     assert rows(resolve.lane_owner(spark.createDataFrame([], "member_id long, queue_id string, profile_id string, message_id long"))) == []
 
 
