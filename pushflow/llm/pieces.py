@@ -435,10 +435,26 @@ def _answers(parts: DataFrame, encoded: DataFrame) -> DataFrame:
     return parts.groupBy("span").cogroup(encoded.groupBy("span")).applyInArrow(work, "block long, span int, ids binary")
 
 
-def encode(docs: DataFrame, p: Pieces) -> DataFrame:
-    """docs(text, ...) with a column ids added, array<int>."""
-    if "ids" in docs.columns:
-        raise ValueError("docs have a column named ids")
+class Decoder:
+    """Texts of ids. Bytes that are no character become replacement characters; ids that are no piece give nothing."""
+
+    def __init__(self, p: Pieces):
+        names = p.names()
+        spelled = (names[i].replace(SPACE, " ").encode() if i in names else bytes([i - p.byte]) if p.byte <= i < p.byte + 256 else b"" for i in range(max([*names, p.byte + 255]) + 1))
+        self.spelled = pa.array(spelled, pa.binary())
+
+    def texts(self, ids: pa.ListArray) -> pa.Array:
+        data, length = v.parts_of(self.spelled.take(ids.flatten()))
+        ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())])].tolist()
+        raw = data.tobytes()
+        return pa.array([None if null else raw[a:b].decode("utf8", "replace").removeprefix(" ") for a, b, null in zip(ends, ends[1:], ids.is_null().to_pylist(), strict=False)], pa.string())
+
+
+def encode(docs: DataFrame, p: Pieces, decoded: bool = False) -> DataFrame:
+    """docs(text, ...) with a column ids added, array<int>; and, if asked for, one named decoded, as decode() adds it."""
+    added = [StructField("ids", ArrayType(IntegerType())), *([StructField("decoded", StringType())] if decoded else [])]
+    if clash := {f.name for f in added} & set(docs.columns):
+        raise ValueError(f"docs have a column named {min(clash)}")
     spark = docs.sparkSession
     blocks = bucketed(packed(docs, BLOCK), "block", "pieces")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -449,7 +465,7 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
         encoded = bucketed(encode_words(words, p), "span", "encoded", least)
     forget(words)
     answers = _answers(parts, encoded)
-    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))])
+    schema = StructType([*docs.schema.fields, *added])
 
     def work(bodies: pa.Table, told: pa.Table) -> pa.Table:
         told = told.sort_by("span")
@@ -457,7 +473,7 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
         size = np.concatenate([np.zeros(0, np.uint32), *[x for x, _ in answered]])
         ids = np.concatenate([np.zeros(0, np.int32), *[x for _, x in answered]])
         del told, answered
-        out, cutter = [], Cutter(p)
+        out, cutter, decoder = [], Cutter(p), Decoder(p)
         for body in bodies["body"]:
             rows = unpack(body.as_buffer())
             count, at, words = cutter.cut(_texts(rows))
@@ -469,7 +485,8 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
             flat = back[at]
             ends = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum(count)])]
             each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.take(pa.array(flat)).flatten(), mask=_texts(rows).is_null())
-            out += slices([pa.RecordBatch.from_arrays([*rows.columns, each], names=[*rows.schema.names, "ids"])], most=1 << 20)
+            parts = slices([pa.RecordBatch.from_arrays([*rows.columns, each], names=[*rows.schema.names, "ids"])], most=1 << 20)
+            out += [x.append_column("decoded", decoder.texts(x.column(x.num_columns - 1))) if decoded else x for x in parts]
             del count, at, order, back, lists, flat, ends, each
         trim()
         return pa.Table.from_batches(out)
@@ -478,26 +495,17 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
 
 
 def decode(docs: DataFrame, p: Pieces, column: str = "ids") -> DataFrame:
-    """docs with a column decoded, the text of the ids; null for null ids.
-
-    Bytes that are no character become replacement characters; ids that are no piece give nothing.
-    """
+    """docs with a column decoded, the text of the ids; null for null ids."""
     if "decoded" in docs.columns:
         raise ValueError("docs have a column named decoded")
-    names, place = p.names(), docs.columns.index(column)
-    spelled = pa.array([names[i].replace(SPACE, " ").encode() if i in names else bytes([i - p.byte]) if p.byte <= i < p.byte + 256 else b"" for i in range(max([*names, p.byte + 255]) + 1)], pa.binary())
-
-    def texts(ids: pa.ListArray) -> list[str | None]:
-        data, length = v.parts_of(spelled.take(ids.flatten()))
-        ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())])].tolist()
-        raw = data.tobytes()
-        return [None if null else raw[a:b].decode("utf8", "replace").removeprefix(" ") for a, b, null in zip(ends, ends[1:], ids.is_null().to_pylist(), strict=False)]
+    place = docs.columns.index(column)
 
     def work(batches):
+        decoder = Decoder(p)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield part.append_column("decoded", pa.array(texts(part.column(place)), pa.string()))
+                yield part.append_column("decoded", decoder.texts(part.column(place)))
         trim()
 
     return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("decoded", StringType())]))

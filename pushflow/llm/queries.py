@@ -18,7 +18,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, their number, and whether decoding gives the text back."""
     model = pieces.load(PIECES)
-    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    rows = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded=True)
     space = F.replace("text", F.lit(pieces.SPACE), F.lit(" "))
     return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(space).alias("round_trip"))
 

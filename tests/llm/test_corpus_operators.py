@@ -406,6 +406,7 @@ def test_pieces_equal_the_library(spark, monkeypatch, block):
         assert rows[i].ids == (None if t is None else library.encode(t)), t
         assert rows[i].decoded == t
         assert rows[i].block == 7
+    assert {r.doc_id: r for r in pieces.encode(df, model, decoded=True).collect()} == rows
     assert pieces.encode(df.limit(0), model).count() == 0
     assert pieces.encode(df.where("text is null or text = ''"), model).count() == 2
     for name in ("ids", "decoded"):
