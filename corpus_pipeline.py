@@ -42,7 +42,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the text's ids, their number, and whether decoding gives the text back."""
     model = pieces.load(PIECES)
-    rows = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), model), model)
+    rows = pieces.encode(docs.select("doc_id", "lang", "source", "text"), model, decoded=True)
     space = F.replace("text", F.lit(pieces.SPACE), F.lit(" "))
     return rows.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(space).alias("round_trip"))
 
