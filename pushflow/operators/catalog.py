@@ -28,10 +28,15 @@ def merge(entries: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def upsert_by_name(stored: DataFrame, given: DataFrame) -> DataFrame:
-    """Keeps a stored id, overwrites url, and the retry default only where one is given."""
-    g = given.select("name", F.col("id").alias("g_id"), F.col("url").alias("g_url"), F.col("retries").alias("g_retries"))
-    rows = stored.join(g, "name", "full_outer")
-    return rows.select(F.coalesce("id", "g_id").alias("id"), "name", F.coalesce("g_url", "url").alias("url"), F.coalesce("g_retries", "retries").alias("retries"))
+    """(tenant_id, name, id, url, secret, retries, backoff): one row per tenant and name.
+
+    Keeps a stored id and overwrites url and secret; retry default and backoff only where one is given.
+    """
+    key = ["tenant_id", "name"]
+    g = given.select(*key, *(F.col(c).alias(f"g_{c}") for c in ("id", "url", "secret", "retries", "backoff")))
+    rows = stored.join(g, key, "full_outer")
+    own = lambda c: F.when(F.col("g_id").isNotNull(), F.col(f"g_{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select(*key, F.coalesce("id", "g_id").alias("id"), own("url"), own("secret"), *(F.coalesce(f"g_{c}", c).alias(c) for c in ("retries", "backoff")))
 
 
 def upsert_lww(stored: DataFrame, given: DataFrame) -> DataFrame:
@@ -53,10 +58,11 @@ def upsert_lww(stored: DataFrame, given: DataFrame) -> DataFrame:
 
 
 def upsert_flow(stored: DataFrame, given: DataFrame) -> DataFrame:
-    """Profiles by key; limits have a floor of one."""
-    g = given.select("key", *(F.col(c).alias(f"g_{c}") for c in ("parallelism", "period_secs")))
+    """Profiles by key; parallelism and period have a floor of one, a rate of 0 is none."""
+    g = given.select("key", *(F.col(c).alias(f"g_{c}") for c in ("parallelism", "rate", "period_secs")))
     rows = stored.join(g, "key", "full_outer")
-    return rows.select("key", *(F.greatest(F.coalesce(f"g_{c}", c, F.lit(1)), F.lit(1)).cast("long").alias(c) for c in ("parallelism", "period_secs")))
+    pick = lambda c, least: F.greatest(F.coalesce(f"g_{c}", c, F.lit(least)), F.lit(least)).cast("long").alias(c)
+    return rows.select("key", pick("parallelism", 1), pick("rate", 0), pick("period_secs", 1))
 
 
 def keep_first(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -74,7 +80,14 @@ def delete_cascade(groups: DataFrame, members: DataFrame, gone: DataFrame) -> tu
 
 
 def member_patch(members: DataFrame, patches: DataFrame) -> DataFrame:
-    """Sparse update; flow_key may also be set to nothing."""
-    p = patches.select("member_id", F.col("parallelism").alias("p_parallelism"), "sets_flow_key", F.col("flow_key").alias("p_flow_key"))
+    """Sparse update by member_id: each column that patches share with members, where a value is given.
+
+    member_flow_key may also be set to nothing: sets_flow_key says that its value counts as it is.
+    """
+    fields = [c for c in patches.columns if c in members.columns and c != "member_id"]
+    p = patches.select("member_id", "sets_flow_key", *(F.col(c).alias(f"p_{c}") for c in fields))
     rows = members.join(p, "member_id", "left")
-    return rows.withColumn("parallelism", F.coalesce("p_parallelism", "parallelism")).withColumn("member_flow_key", F.when(F.coalesce("sets_flow_key", F.lit(False)), F.col("p_flow_key")).otherwise(F.col("member_flow_key"))).drop("p_parallelism", "sets_flow_key", "p_flow_key")
+    told = {c: F.coalesce(f"p_{c}", c) for c in fields}
+    if "member_flow_key" in fields:
+        told["member_flow_key"] = F.when(F.coalesce("sets_flow_key", F.lit(False)), F.col("p_member_flow_key")).otherwise(F.col("member_flow_key"))
+    return rows.withColumns(told).select(members.columns)

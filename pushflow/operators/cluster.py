@@ -31,6 +31,19 @@ def leaders(nodes: DataFrame, shards: DataFrame) -> DataFrame:
     return found.withColumn("leader", F.coalesce("elected", "preferred")).withColumn("failover", F.col("leader") != F.col("preferred")).drop("elected")
 
 
+def status(led: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of each node whether it is alive, the shards that it leads, those of them that are another's by preference, and its own by preference."""
+    leads = led.groupBy(F.col("leader").alias("node")).agg(F.count("*").alias("led"), F.count_if("failover").alias("failovers"))
+    prefers = led.groupBy(F.col("preferred").alias("node")).agg(F.count("*").alias("preferred_shards"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return nodes.select("node", "alive").join(leads, "node", "left").join(prefers, "node", "left").select("node", "alive", zero("led"), zero("failovers"), zero("preferred_shards"))
+
+
+def fenced(acks: DataFrame, appends: DataFrame) -> DataFrame:
+    """Acks of a generation older than their append's: they do not count."""
+    return acks.join(appends, "append_id").where("ack_generation < generation").select(acks.columns)
+
+
 def quorum(acks: Column, nodes: Column) -> Column:
     return acks + 1 >= F.floor(nodes / 2) + 1
 

@@ -88,7 +88,12 @@ def uses_flow_control(rows: DataFrame) -> DataFrame:
 
 
 def merge_http_spec(rows: DataFrame) -> DataFrame:
-    """Top-level values override nested ones; a blank method does not count; POST, unsigned by default."""
+    """Top-level values override nested ones, headers name by name; a blank method does not count; POST, unsigned by default."""
+    if {"header_map", "request_headers"} <= set(rows.columns):
+        none = F.create_map().cast("map<string,string>")
+        given = F.coalesce("header_map", none)
+        nested = F.map_filter(F.coalesce("request_headers", none), lambda k, _: ~F.map_contains_key(given, k))
+        rows = rows.withColumn("header_map", F.map_concat(nested, given)).drop("request_headers")
     clean = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
     return rows.withColumn("http_method", F.coalesce(clean(F.col("method")), clean(F.col("request_method")), F.lit("POST"))).withColumn("signed", F.coalesce("sign", "request_sign", F.lit(False)))
 
@@ -103,6 +108,13 @@ def outbound(rows: DataFrame) -> DataFrame:
     return rows.withColumn("http_method", method).withColumn("body", F.when(~F.col("http_method").isin(*BODILESS), F.col("payload"))).drop("payload")
 
 
+def not_paused(rows: DataFrame, queues: DataFrame, members: DataFrame) -> DataFrame:
+    """rows(topic, member_id, ..) of queues and members that are not paused."""
+    still = queues.where("paused").select("topic")
+    quiet = members.where("paused").select("member_id")
+    return rows.join(F.broadcast(still), "topic", "left_anti").join(F.broadcast(quiet), "member_id", "left_anti").select(rows.columns)
+
+
 def parse_headers(rows: DataFrame) -> DataFrame:
     """headers as JSON, an object or an array of pairs or "K: v" lines, to rows (.., name, value); the last of equal names counts."""
     text = F.trim("headers")

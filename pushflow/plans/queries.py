@@ -117,11 +117,13 @@ _FRAMES = """, frames AS (SELECT topic, partition, message_id, message_id % 3 AS
  good AS (SELECT * FROM (SELECT *, min(ok::INT) OVER (PARTITION BY topic, partition, file_no ORDER BY pos) AS fine FROM frames) WHERE fine = 1)"""
 
 
-@_query("scan_recovery", f"{_FRAMES} SELECT topic, partition, message_id, row_number() OVER (PARTITION BY topic, partition ORDER BY file_no, pos) - 1 AS log_offset FROM good")
+@_query("scan_recovery", f"{_FRAMES} SELECT * FROM (SELECT topic, partition, message_id, row_number() OVER (PARTITION BY topic, partition ORDER BY file_no, pos) - 1 AS log_offset FROM good) WHERE log_offset % 6 <> 1")
 def scan_recovery(spark, d):
+    """What is found in the files, but for offsets that were purged."""
     i = F.col("message_id")
     frames = T.messages(spark, d).select("topic", "partition", "message_id", (i % 3).alias("file_no"), i.alias("pos"), (i % 997 != 501).alias("ok"))
-    return log.recover(frames).select("topic", "partition", "message_id", "log_offset")
+    rows = log.recover(frames).select("topic", "partition", "message_id", "log_offset")
+    return log.visible(rows, rows.where("log_offset % 6 = 1")).select("topic", "partition", "message_id", "log_offset")
 
 
 @_query("append_raw_frame", "SELECT message_id, row_number() OVER (PARTITION BY topic, partition ORDER BY message_id) - 1 AS log_offset FROM log WHERE message_id % 3 <> 0")
@@ -275,11 +277,14 @@ _query("lane_owner", f"{_OWNED} SELECT message_id, coalesce(member_id::VARCHAR,
 _query("uses_flow_control", f"{_OWNED} SELECT message_id, coalesce(member_id::VARCHAR, queue_id, profile_id, flow_key_in, p::VARCHAR, r::VARCHAR) IS NOT NULL AS flow_controlled FROM owned")(lambda spark, d: resolve.uses_flow_control(_owned(spark, d)).select("message_id", "flow_controlled"))
 
 
-@_query("merge_http_spec", "SELECT message_id, CASE WHEN message_id % 5 = 0 THEN 'PUT' WHEN message_id % 3 = 0 THEN 'GET' ELSE 'POST' END AS http_method, CASE WHEN message_id % 7 = 0 THEN message_id % 2 = 0 WHEN message_id % 4 = 0 THEN TRUE ELSE FALSE END AS signed FROM messages")
+@_query("merge_http_spec", """SELECT message_id, CASE WHEN message_id % 5 = 0 THEN 'PUT' WHEN message_id % 3 = 0 THEN 'GET' ELSE 'POST' END AS http_method, CASE WHEN message_id % 7 = 0 THEN message_id % 2 = 0 WHEN message_id % 4 = 0 THEN TRUE ELSE FALSE END AS signed,
+  CASE WHEN message_id % 2 = 0 THEN 'given' ELSE 'nested' END AS a, CASE WHEN message_id % 3 = 0 THEN 'nested' END AS b FROM messages""")
 def merge_http_spec(spark, d):
     i = F.col("message_id")
-    rows = T.messages(spark, d).select("message_id", F.when(i % 5 == 0, " put ").when(i % 5 == 1, "  ").alias("method"), F.when(i % 3 == 0, "get").alias("request_method"), F.when(i % 7 == 0, i % 2 == 0).alias("sign"), F.when(i % 4 == 0, F.lit(True)).alias("request_sign"))
-    return resolve.merge_http_spec(rows).select("message_id", "http_method", "signed")
+    header = lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    nested = F.when(i % 3 == 0, F.map_concat(header("a", "nested"), header("b", "nested"))).otherwise(header("a", "nested"))
+    rows = T.messages(spark, d).select("message_id", F.when(i % 5 == 0, " put ").when(i % 5 == 1, "  ").alias("method"), F.when(i % 3 == 0, "get").alias("request_method"), F.when(i % 7 == 0, i % 2 == 0).alias("sign"), F.when(i % 4 == 0, F.lit(True)).alias("request_sign"), F.when(i % 2 == 0, header("a", "given")).alias("header_map"), nested.alias("request_headers"))
+    return resolve.merge_http_spec(rows).select("message_id", "http_method", "signed", F.col("header_map")["a"].alias("a"), F.col("header_map")["b"].alias("b"))
 
 
 @_query("webhook_sink", "SELECT message_id, CASE WHEN message_id % 4 = 0 THEN 'GET' WHEN message_id % 4 = 1 THEN 'HEAD' WHEN message_id % 4 = 2 THEN 'PUT' ELSE 'POST' END AS http_method, CASE WHEN message_id % 4 > 1 THEN payload END AS body FROM messages")
@@ -310,7 +315,9 @@ _query("dlq_topic_predicates", f"{_REQUESTS} SELECT topic, topic LIKE '%.\\_\\_d
 )
 _query("dispatchable_filter", "SELECT message_id FROM accepted WHERE partition IN (0, 3)")(lambda spark, d: log.accept(T.messages(spark, d)).where(~F.col("duplicate") & F.col("partition").isin(0, 3) & ~S.is_dlq(F.col("topic"))).select("message_id"))
 _query("semi_led_shards", "SELECT topic, count(*) AS n FROM messages WHERE partition IN (1, 2) GROUP BY topic")(lambda spark, d: T.messages(spark, d).join(F.broadcast(spark.range(1, 3).withColumnRenamed("id", "partition")), "partition", "left_semi").groupBy("topic").agg(F.count("*").alias("n")))
-_query("paused_filter", "SELECT member_id FROM members JOIN groups_ USING (group_id) WHERE NOT paused AND NOT group_paused")(lambda spark, d: T.members(spark, d).join(T.groups(spark, d), "group_id").where("not paused and not group_paused").select("member_id"))
+_query("paused_filter", "SELECT message_id FROM messages LEFT JOIN members ON member_id = message_id % 25 WHERE topic <> 'error' AND NOT coalesce(paused, FALSE)")(
+    lambda spark, d: resolve.not_paused(T.messages(spark, d).withColumn("member_id", F.col("message_id") % 25), T.queues(spark, d).withColumn("paused", F.col("topic") == "error"), T.members(spark, d)).select("message_id")
+)
 _PATHS = "CASE page_id % 5 WHEN 0 THEN replace(replace(url, ':', '%3A'), '/', '%2f') WHEN 1 THEN '  ' || url || ' ' WHEN 2 THEN replace(url, 'http', 'ftp') WHEN 3 THEN 'https%3' || page_id ELSE '' END"
 _query("validate_destination_path", "SELECT page_id, CASE WHEN page_id % 5 < 2 THEN url END AS destination FROM pages")(
     lambda spark, d: T.read(spark, d, "pages").select("page_id", S.destination_of_path(F.expr(_PATHS)).alias("destination"))
@@ -482,7 +489,9 @@ def agg_dlq_sources(spark, d):
     return inspect.dlq_sources(inspect.dlq_candidates(T.queues(spark, d), T.members(spark, d), letters), letters, T.groups(spark, d))
 
 
-_query("agg_dashboard_totals", f"{_SOURCES} SELECT sum(count)::BIGINT AS dead_letters, count_if(count > 0) AS sources, (SELECT count(*) FROM messages WHERE delay_ms IS NOT NULL) AS scheduled FROM sources")(lambda spark, d: inspect.dashboard(agg_dlq_sources(spark, d), T.messages(spark, d).where("delay_ms is not null")))
+_query("agg_dashboard_totals", f"{_SOURCES} SELECT sum(count)::BIGINT AS dead_letters, count_if(count > 0) AS sources, (SELECT count(*) FROM messages WHERE delay_ms IS NOT NULL) + (SELECT count(*) FROM supplier) AS scheduled FROM sources")(
+    lambda spark, d: inspect.dashboard(agg_dlq_sources(spark, d), T.messages(spark, d).where("delay_ms is not null").select("message_id").union(_jobs(spark, d).select("job")))
+)
 _query("agg_ingest_hourly", "SELECT tenant_id, published_at_ms - published_at_ms % 3600000 AS hour_ms, count(*) AS messages, sum(octet_length(encode(payload)))::BIGINT AS bytes FROM messages GROUP BY ALL")(lambda spark, d: inspect.ingest_hourly(T.messages(spark, d)))
 _BLOCKS = ", blocks AS (SELECT 'https://' || event_type || '.example.com:443' AS host, max(epoch_us(ts) // 1000) - 86400000 AS until_ms FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL)"
 
@@ -635,10 +644,15 @@ def _catalogue(spark, d, rule):
     return rows
 
 
-@_query("upsert_queue_by_name", "SELECT s_suppkey AS id, 'n' || s_suppkey AS name, CASE WHEN s_suppkey % 4 < 2 THEN 'g' ELSE '' END || 'u' || (s_suppkey % 7) AS url, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 5 END AS retries FROM supplier WHERE s_suppkey % 4 < 3")
+@_query("upsert_queue_by_name", """SELECT 't' || (s_suppkey % 2) AS tenant_id, 'n' || s_suppkey AS name, CASE WHEN f = 0 THEN s_suppkey + 100000 ELSE s_suppkey END AS id, CASE WHEN f < 2 THEN 'g' ELSE '' END || 'u' || (s_suppkey % 7) AS url, CASE WHEN f < 2 THEN 'new' ELSE 'old' END AS secret,
+  CASE WHEN f < 2 AND s_suppkey % 9 = 0 THEN 9 WHEN f > 0 AND s_suppkey % 3 = 0 THEN s_suppkey % 5 END AS retries, CASE WHEN f < 2 AND s_suppkey % 9 = 0 THEN 'fixed' WHEN f > 0 THEN 'linear' END AS backoff
+  FROM (SELECT *, s_suppkey % 4 AS f FROM supplier) WHERE f < 3""")
 def upsert_queue_by_name(spark, d):
-    given = _catalogue(spark, d, "s_suppkey % 4 < 2").withColumn("url", F.concat(F.lit("g"), "url"))
-    return catalog.upsert_by_name(_catalogue(spark, d, "s_suppkey % 4 between 1 and 2").select("id", "name", "url", "retries"), given)
+    s = F.col("s_suppkey")
+    rows = T.read(spark, d, "supplier").select(s, F.concat(F.lit("t"), s % 2).alias("tenant_id"), F.concat(F.lit("n"), s).alias("name"), F.concat(F.lit("u"), s % 7).alias("url"))
+    stored = rows.where(s % 4 > 0).where(s % 4 < 3).select("tenant_id", "name", s.alias("id"), "url", F.lit("old").alias("secret"), F.when(s % 3 == 0, s % 5).alias("retries"), F.lit("linear").alias("backoff"))
+    given = rows.where(s % 4 < 2).select("tenant_id", "name", (s + 100_000).alias("id"), F.concat(F.lit("g"), "url").alias("url"), F.lit("new").alias("secret"), F.when(s % 9 == 0, F.lit(9).cast("long")).alias("retries"), F.when(s % 9 == 0, "fixed").alias("backoff"))
+    return catalog.upsert_by_name(stored, given)
 
 
 @_query("upsert_queue_lww", """SELECT 't' AS tenant_id, CASE WHEN f = 2 AND u <= 5 THEN s_suppkey + 100000 ELSE s_suppkey END AS id, CASE WHEN f IN (0, 1) AND (f = 0 OR u <= 5) THEN 'new' || s_suppkey ELSE 'n' || s_suppkey END AS name,
@@ -653,19 +667,22 @@ def upsert_queue_lww(spark, d):
     return catalog.upsert_lww(stored, given)
 
 
-@_query("upsert_flow_by_key", "SELECT s_suppkey::VARCHAR AS key, greatest(coalesce(CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 4 - 1 END, 1), 1) AS parallelism, greatest(s_suppkey % 9, 1) AS period_secs FROM supplier WHERE s_suppkey % 4 < 3")
+@_query("upsert_flow_by_key", "SELECT s_suppkey::VARCHAR AS key, greatest(coalesce(CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 4 - 1 END, 1), 1) AS parallelism, CASE WHEN s_suppkey % 4 < 2 THEN 7 ELSE s_suppkey % 7 END AS rate, greatest(s_suppkey % 9, 1) AS period_secs FROM supplier WHERE s_suppkey % 4 < 3")
 def upsert_flow_by_key(spark, d):
-    return catalog.upsert_flow(_catalogue(spark, d, "s_suppkey % 4 between 1 and 2").select("key", "parallelism", "period_secs"), _catalogue(spark, d, "s_suppkey % 4 < 2"))
+    stored = _catalogue(spark, d, "s_suppkey % 4 between 1 and 2").select("key", "parallelism", (F.col("id") % 7).alias("rate"), "period_secs")
+    return catalog.upsert_flow(stored, _catalogue(spark, d, "s_suppkey % 4 < 2").withColumn("rate", F.lit(7).cast("long")))
 
 
 _query("apply_inline_flow", "SELECT s_suppkey::VARCHAR AS key, greatest(coalesce(CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 4 - 1 END, 1), 1) AS parallelism FROM supplier WHERE s_suppkey % 4 < 2")(
-    lambda spark, d: catalog.upsert_flow(spark.createDataFrame([], "key string, parallelism long, period_secs long"), _catalogue(spark, d, "s_suppkey % 4 < 2")).select("key", "parallelism")
+    lambda spark, d: catalog.upsert_flow(spark.createDataFrame([], "key string, parallelism long, rate long, period_secs long"), _catalogue(spark, d, "s_suppkey % 4 < 2").withColumn("rate", F.lit(0).cast("long"))).select("key", "parallelism")
 )
 _query("compact_duplicates", "SELECT min(s_suppkey) AS id FROM supplier GROUP BY s_suppkey % 7, s_nationkey")(lambda spark, d: catalog.keep_first(T.read(spark, d, "supplier").withColumn("url", F.col("s_suppkey") % 7), ["url", "s_nationkey"], "s_suppkey").select(F.col("s_suppkey").alias("id")))
 _query("unique_for_topic", "SELECT min(s_suppkey) AS id FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY s_suppkey % 7")(lambda spark, d: catalog.keep_first(T.read(spark, d, "supplier").where("s_suppkey % 5 <> 0").withColumn("url", F.col("s_suppkey") % 7), ["url"], "s_suppkey").select(F.col("s_suppkey").alias("id")))
 _query("delete_cascade", "SELECT 'group' AS kind, group_id AS id FROM groups_ WHERE group_id < 2 UNION ALL SELECT 'member', member_id FROM members WHERE group_id < 2")(lambda spark, d: catalog.delete_cascade(T.groups(spark, d), T.members(spark, d), T.groups(spark, d).where("group_id < 2"))[2])
-_query("member_patch", "SELECT member_id, CASE WHEN member_id % 4 = 0 THEN 9 ELSE parallelism END AS parallelism, CASE WHEN member_id % 4 = 0 AND member_id % 8 = 0 THEN NULL ELSE member_flow_key END AS member_flow_key FROM members")(
-    lambda spark, d: catalog.member_patch(T.members(spark, d), T.members(spark, d).where("member_id % 4 = 0").select("member_id", F.lit(9).cast("long").alias("parallelism"), (F.col("member_id") % 8 == 0).alias("sets_flow_key"), F.lit(None).cast("string").alias("flow_key"))).select("member_id", "parallelism", "member_flow_key")
+_query("member_patch", "SELECT member_id, CASE WHEN member_id % 4 = 0 THEN 9 ELSE parallelism END AS parallelism, CASE WHEN member_id % 12 = 0 THEN 3 ELSE rate END AS rate, CASE WHEN member_id % 4 = 0 THEN 'p' ELSE url END AS url, paused OR member_id % 4 = 0 AS paused, CASE WHEN member_id % 8 = 0 THEN NULL ELSE member_flow_key END AS member_flow_key FROM members")(
+    lambda spark, d: catalog.member_patch(
+        T.members(spark, d), T.members(spark, d).where("member_id % 4 = 0").select("member_id", F.lit(9).cast("long").alias("parallelism"), F.expr("CASE WHEN member_id % 12 = 0 THEN 3L END").alias("rate"), F.lit("p").alias("url"), F.lit(True).alias("paused"), F.expr("member_id % 8 = 0").alias("sets_flow_key"), F.lit(None).cast("string").alias("member_flow_key"))
+    ).select("member_id", "parallelism", "rate", "url", "paused", "member_flow_key")
 )
 
 
@@ -702,25 +719,27 @@ _query("ring_leader", f"{_LEADERS} SELECT shard, leader FROM led")(lambda spark,
 _query("preferred_leader", f"{_LEADERS} SELECT shard, preferred FROM led")(lambda spark, d: _leaders(spark, d).select("shard", "preferred"))
 _query("failover_flag", f"{_LEADERS} SELECT shard, leader <> preferred AS failover FROM led")(lambda spark, d: _leaders(spark, d).select("shard", "failover"))
 _query("led_shards", f"{_LEADERS} SELECT shard FROM led WHERE leader = 0")(lambda spark, d: _leaders(spark, d).where("leader = 0").select("shard"))
-_query("agg_cluster_status", f"{_LEADERS} SELECT leader AS node, count(*) AS led, count_if(leader <> preferred) AS failovers FROM led GROUP BY leader")(lambda spark, d: _leaders(spark, d).groupBy(F.col("leader").alias("node")).agg(F.count("*").alias("led"), F.count_if("failover").alias("failovers")))
+_query("agg_cluster_status", f"{_LEADERS} SELECT n.node, n.alive, count_if(leader = n.node) AS led, count_if(leader = n.node AND leader <> preferred) AS failovers, count_if(preferred = n.node) AS preferred_shards FROM nodes n, led GROUP BY ALL")(lambda spark, d: cluster.status(_leaders(spark, d), _nodes(spark, d)))
 _query("cross_node_shard", f"{_NODES} SELECT node, shard, alive FROM nodes, range(16) AS r(shard)")(lambda spark, d: F.broadcast(_nodes(spark, d)).join(spark.range(16).withColumnRenamed("id", "shard")).select("node", "shard", "alive"))
 _query("readiness", f"{_NODES} SELECT count_if(alive) >= count(*) // 2 + 1 AS ready FROM nodes")(lambda spark, d: _nodes(spark, d).agg((F.count_if("alive") >= F.floor(F.count("*") / 2) + 1).alias("ready")))
 _query("agg_peer_health_max", "SELECT user_id % 7 AS node, max(epoch_us(ts) // 1000) AS last_seen_ms FROM events GROUP BY ALL")(lambda spark, d: cluster.gossip(T.messages(spark, d).select((F.col("routing_key").cast("long") % 7).alias("node"), F.col("published_at_ms").alias("last_seen_ms"))))
 _ACKED = ", appends AS (SELECT message_id AS append_id, message_id % 3 AS generation FROM messages), acks3 AS (SELECT message_id AS append_id, peer, (message_id + peer) % 4 <> 0 AS ok, (message_id * 7 + peer) % 4 AS ack_generation FROM messages, range(1, 5) AS r(peer)), counted AS (SELECT a.append_id, count(peer) FILTER (WHERE ok AND ack_generation >= generation) AS acks FROM appends a LEFT JOIN acks3 USING (append_id) GROUP BY ALL)"
 
 
-@_query("replicate_quorum", f"{_ACKED} SELECT append_id, acks, acks + 1 >= 3 AS committed FROM counted")
-def replicate_quorum(spark, d):
+def _acked(spark, d):
     i, p = F.col("message_id"), F.col("peer")
     m = T.messages(spark, d)
     acks = m.select("message_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("peer")).select(i.alias("append_id"), "peer", ((i + p) % 4 != 0).alias("ok"), ((i * 7 + p) % 4).alias("ack_generation"))
-    return cluster.replicated(m.select(i.alias("append_id"), (i % 3).alias("generation")), acks, 5)
+    return m.select(i.alias("append_id"), (i % 3).alias("generation")), acks
+
+
+@_query("replicate_quorum", f"{_ACKED} SELECT append_id, acks, acks + 1 >= 3 AS committed FROM counted")
+def replicate_quorum(spark, d):
+    return cluster.replicated(*_acked(spark, d), 5)
 
 
 _query("agg_quorum", f"{_ACKED} SELECT acks + 1 >= 3 AS committed, count(*) AS n FROM counted GROUP BY ALL")(lambda spark, d: replicate_quorum(spark, d).groupBy("committed").agg(F.count("*").alias("n")))
-_query("fence", f"{_ACKED} SELECT count(*) AS fenced FROM acks3 JOIN appends USING (append_id) WHERE ack_generation < generation")(
-    lambda spark, d: T.messages(spark, d).select("message_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("peer")).where((F.col("message_id") * 7 + F.col("peer")) % 4 < F.col("message_id") % 3).agg(F.count("*").alias("fenced"))
-)
+_query("fence", f"{_ACKED} SELECT append_id, peer FROM acks3 JOIN appends USING (append_id) WHERE ack_generation < generation")(lambda spark, d: cluster.fenced(*_acked(spark, d)[::-1]).select("append_id", F.col("peer").cast("long").alias("peer")))
 _query("generation_bump", "SELECT shard, node, count(*) AS generation FROM (SELECT user_id % 16 AS shard, event_id // 50 % 5 AS node, lag(event_id // 50 % 5) OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS was FROM events) WHERE node IS DISTINCT FROM was GROUP BY ALL")(
     lambda spark, d: cluster.generations(T.messages(spark, d).select((F.col("routing_key").cast("long") % 16).alias("shard"), F.col("message_id").alias("seq"), (F.floor(F.col("message_id") / 50) % 5).alias("node")))
 )
