@@ -140,14 +140,14 @@ def _columns(sets) -> tuple[list[int], int]:
 
 
 def compile_rules(rules: list[str]) -> Automaton:
-    """At most 8 rules, each of which may match anywhere.
+    """At most 64 rules, each of which may match anywhere; a byte's mask has as many bits as it needs.
 
     Each rule is determinised and minimised by itself, since counted rules that may begin
     inside themselves have many more subsets than states; the subsets of all rules
     together, one state of each, are then built and minimised again.
     """
-    if len(rules) > 8:
-        raise ValueError("an automaton takes 8 rules at most")
+    if len(rules) > 64:
+        raise ValueError("an automaton takes 64 rules at most")
     parts = [_one(rule) for rule in rules]
     seen: dict[tuple, int] = {}
     kind = [seen.setdefault(tuple(row[b] for moves, _ in parts for row in moves), len(seen)) for b in range(256)]
@@ -161,7 +161,7 @@ def compile_rules(rules: list[str]) -> Automaton:
                 number[there] = len(order)
                 order.append(there)
             step.append(number[there])
-    accept = np.array([sum(bool(a[s]) << i for i, ((_, a), s) in enumerate(zip(parts, here, strict=True))) for here in order], np.uint8)
+    accept = np.array([sum(bool(a[s]) << i for i, ((_, a), s) in enumerate(zip(parts, here, strict=True))) for here in order], np.min_scalar_type((1 << len(rules)) - 1))
     return _minimal(np.array(step, np.int32).reshape(-1, len(sample)), accept, np.array(kind, np.int32))
 
 
@@ -187,7 +187,7 @@ def scan(dfa: Automaton, data: np.ndarray, lane: int = 512, lanes: int = 8192) -
     """For each byte the mask of the rules that have a match ending with it."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint8)
+        return np.zeros(0, dfa.accept.dtype)
     k = max(1, min(lanes, n // lane))
     size = -(-n // k)
     kinds = np.zeros(k * size, np.int32)
