@@ -206,7 +206,8 @@ def _strength(rate: float, spread) -> float:
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most: int = FIT_ROWS) -> DataFrame:
     """docs with evidence, host_rate, path_rate, posterior and kept (posterior at least 0.5) in struct __quality.
 
-    One pass over the texts for the sites' sums, one for the result; no text is shuffled.
+    One pass over the texts for the sites' sums, one for the result. Up to BROADCAST_ROWS sites no
+    text is shuffled; more of them meet the documents in a shuffle, where Spark splits large sites.
     """
     model = fit(docs, labels, most)
     own = docs.select("text", host.alias("host"), path.alias("path"))

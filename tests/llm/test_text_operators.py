@@ -137,6 +137,33 @@ def test_automaton_equals_search():
     assert (masks == whole).all()
 
 
+def test_more_rules_than_a_byte_has_bits():
+    rules = [f"k{i:02}x+" for i in range(40)] + ["[0-9]{3}"]
+    dfa = automaton.compile_rules(rules)
+    rng = random.Random(8)
+    for _ in range(50):
+        text = "".join(rng.choice(["k", "0", "1", "2", "3", "x", " "]) for _ in range(300)) + "k39xk31x"
+        masks = automaton.scan(dfa, np.frombuffer(text.encode(), np.uint8), 16, 4)
+        for i, rule in enumerate(rules):
+            ends = {e for e in range(1, len(text) + 1) if re.search(f"(?:{rule})\\Z", text[:e])}
+            assert {int(x) + 1 for x in np.flatnonzero(masks >> masks.dtype.type(i) & masks.dtype.type(1))} == ends
+    with pytest.raises(ValueError, match="64"):
+        automaton.compile_rules(["a"] * 65)
+
+
+def test_scans_of_odd_rows(spark):
+    """Null, empty, repeated and very long texts, no rows at all, and columns that clash with the result's."""
+    docs = [(1, None), (2, ""), (3, "x" * 60_000 + " token: abcdef123"), (3, "x" * 60_000 + " token: abcdef123"), (None, "mail a@b.co"), (4, "a" * 30), (5, "東京 password=hunter22 é")]
+    for scan, want in (
+        (secrets.scan_documents, lambda t: [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in plain_secrets(t)]),
+        (pii.scan, lambda t: [f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}" for k, a, b in plain_pii(t)]),
+    ):
+        df = spark.createDataFrame([(*d, 1, "s") for d in docs], "doc_id long, text string, n_hex int, spans string")
+        got = sorted(((r.doc_id, r.base_sha256) for r in scan(df).collect()), key=str)
+        assert got == sorted(((i, hashlib.sha256(",".join(want(t or "")).encode()).hexdigest()) for i, t in docs), key=str)
+        assert scan(df.limit(0)).count() == 0
+
+
 def test_secrets_redacted(spark):
     docs = spark.createDataFrame([(1, "my password: hunter22 ok", 9), (2, None, 1), (3, "clean", 5)], "doc_id long, text string, extra int")
     got = {r.doc_id: (r.text, r.extra) for r in secrets.redact(docs).collect()}
@@ -207,6 +234,61 @@ def test_quality_held_out(spark):
     assert np.mean([got[i] == (i % 6 > 1) for i in held]) > 0.97
 
 
+def plain_rates(rows):
+    """Rates of hosts and paths, shrunk level by level with strengths from the method of moments."""
+
+    def strength(rate, sites):
+        noise = max(rate * (1 - rate), 1e-6)
+        if len(sites) < 2:
+            return 100.0
+        n, n2 = sum(x for x, _, _ in sites), sum(x * x for x, _, _ in sites)
+        between = (sum(x * (s / x - r) ** 2 for x, s, r in sites) - (len(sites) - 1) * noise) / max(n - n2 / n, 1e-9)
+        return min(max(noise / between - 1, 1.0), 1e4) if between > 0 else 1e4
+
+    paths, hosts = {}, {}
+    for h, p, x in rows:
+        for key, into in (((h, p), paths), (h, hosts)):
+            n, s = into.get(key, (0, 0.0))
+            into[key] = n + 1, s + x
+    rate = sum(s for _, s in hosts.values()) / len(rows)
+    k = strength(rate, [(n, s, rate) for n, s in hosts.values() if n > 1])
+    host = {h: (s + k * rate) / (n + k) for h, (n, s) in hosts.items()}
+    k = strength(rate, [(n, s, host[h]) for (h, _), (n, s) in paths.items() if n > 1])
+    return {(h, p): (host[h], (s + k * host[h]) / (n + k)) for (h, p), (n, s) in paths.items()}, rate
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_site_rates_equal_plain(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for h in [None, *"abcdefg"]:
+        good = rng.random()
+        for p in [None, *"xyz"]:
+            rows += [(h, p, min(max(rng.gauss(good, 0.2), 0.0), 1.0)) for _ in range(rng.choice((0, 1, 3, 40)))]
+    got, rate = quality.site_rates(spark.createDataFrame(rows, "host string, path string, p double"))
+    want, plain_rate = plain_rates(rows)
+    assert rate == pytest.approx(plain_rate)
+    assert {(r.host, r.path): (pytest.approx(r.host_rate), pytest.approx(r.path_rate)) for r in got.collect()} == want
+
+
+def test_posterior_equals_plain(spark):
+    """Evidence with the path's rate in place of the global one, for rows that clash with the result's columns."""
+    rng = random.Random(9)
+    docs = [(i if i % 50 else None, rng.choice(("fine words here ", "BAD!! 99 ")) * rng.randint(1, 30), rng.choice(("en", None)), f"h{i % 5}" if i % 7 else None, 1.0) for i in range(300)]
+    labels = [(i, int("fine" in t), 0) for i, t, *_ in docs[:200] if i is not None]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, posterior double")
+    rows = quality.score(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.col("source"), F.concat_ws("/", "source", "lang")).collect()
+    assert len(rows) == 300 and rows[0].posterior == 1.0
+    logit = lambda p: np.log(p / (1 - p))
+    rates, rate = plain_rates([(r.source, "/".join(x for x in (r.source, r.lang) if x is not None), 1 / (1 + np.exp(-r["__quality"].evidence))) for r in rows])
+    for r in rows:
+        q = r["__quality"]
+        host, path = rates[r.source, "/".join(x for x in (r.source, r.lang) if x is not None)]
+        assert (q.host_rate, q.path_rate) == (pytest.approx(host), pytest.approx(path))
+        assert q.posterior == pytest.approx(1 / (1 + np.exp(-(q.evidence - logit(rate) + logit(path)))))
+        assert q.kept == (q.posterior >= 0.5)
+
+
 def test_quality_odd_rows(spark):
     d = spark.createDataFrame([(1, None, None, None), (2, "", "en", None), (2, "x " * 50_000, None, "h")], "doc_id long, text string, lang string, source string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
