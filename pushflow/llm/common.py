@@ -31,13 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir where it is set.
+
+    Without it a local session gets a temporary folder, and a cluster a RuntimeError: its executors
+    would each write to a disk of their own.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         got = sc._jsc.sc().getCheckpointDir()
         if got.isDefined():
             found = got.get()
+        elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="pushflow-")
             sc.setCheckpointDir(found)
