@@ -338,7 +338,9 @@ def asked(chunk: Chunk, t: Tree) -> Asked:
     ]
     byte = np.concatenate([data[at].astype(np.int64), chunk.byte[followers]])
     weight = np.concatenate([chunk.totals()[of], chunk.count[followers]])
+    del wide, before, sums
     own, place = encoded(np.concatenate(keys))
+    del keys
     order = np.argsort(own)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))

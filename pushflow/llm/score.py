@@ -30,7 +30,7 @@ from pushflow.llm.blocks import bucketed, packed, total_bytes, unpack
 from pushflow.llm.common import forget, trim
 
 #: Bytes of text in a block: the more, the fewer units are asked for twice.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 
 
 def held_out(doc_id: int | None) -> bool:

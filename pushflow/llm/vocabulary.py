@@ -14,7 +14,7 @@ import pyarrow as pa
 from pushflow.llm.common import span_hashes
 
 #: Bytes of text for each span: a group has the words that so much text adds to a part.
-SPAN = 32 << 20
+SPAN = 8 << 20
 
 _CODEC = pa.Codec("zstd", 1)
 
