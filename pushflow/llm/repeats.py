@@ -10,10 +10,10 @@ digit 2: all bytes that share a window with the gram. A group of equal digits is
   places whose windows around the gram are all equal, so all but its smallest doc_id lose
   them at once. Its members are not sorted further.
 digit 3: what is left are grams that occur with several surroundings. One place of each
-  surrounding sends its bytes, and its windows are sorted to the full depth; the groups of
-  equal windows are exactly the repeats.
+  surrounding sends its bytes, and its windows are sorted by them to the full depth, eight
+  bytes a pass; the groups of equal windows are exactly the repeats.
 
-Digits are 64-bit hashes of the bytes. A block of documents sends each digit once, with
+Digits 1 and 2 are 64-bit hashes of the bytes. A block of documents sends each digit once, with
 its smallest doc_id; a passage that all documents share is one row for each block.
 
 Cases: null and empty texts have nothing to remove; texts shorter than DEPTH hold no
@@ -34,8 +34,8 @@ from pushflow.llm.blocks import bucketed, packed, release, total_bytes, unpack
 from pushflow.llm.common import _P, _PINV, mix, powers, saved, utf8
 
 DEPTH, ANCHOR = 50, 16
-#: Bytes of text whose digits are sorted in one group.
-SORTED = 24 << 20
+#: Bytes of text whose digits are sorted in one group: several groups to a task, so that tasks are even.
+SORTED = 8 << 20
 
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
@@ -219,6 +219,28 @@ def _send_windows(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFr
     return blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, _OPEN)
 
 
+def _equal(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows that begin at starts those that are not alone, and the number of the group of equal ones of each.
+
+    A radix sort from the most significant digit on, eight bytes a digit; windows that are alone
+    in their group go after each digit. What is left is equal byte by byte.
+    """
+    words = np.zeros(max(0, len(data) - 7), np.uint64)
+    for k in range(8 if len(words) else 0):
+        words |= data[k : k + len(words)].astype(np.uint64) << _U(8 * (7 - k))
+    live, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    for depth in (*range(0, DEPTH - 8, 8), DEPTH - 8):
+        key = words[starts[live] + depth]
+        order = np.lexsort((key, group))
+        live, group, key = live[order], group[order], key[order]
+        new = np.ones(len(live), bool)
+        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        group = np.cumsum(new) - 1
+        several = np.bincount(group, minlength=1)[group] > 1
+        live, group = live[several], group[several]
+    return live, group
+
+
 def _sort_windows(t: pa.Table) -> pa.Table:
     """Of one bucket: for each entry the windows that a smaller doc_id has too (kind 2)."""
     if not t.num_rows:
@@ -228,21 +250,17 @@ def _sort_windows(t: pa.Table) -> pa.Table:
     data = join("bytes", np.uint8)
     end = np.cumsum(size)
     start = end - size
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + _U(1)) * powers(_P, len(data) + 1)[: len(data)], out=sums[1:])
     # windows [s, s + DEPTH) inside the surrounding that hold the whole gram
     low = np.maximum(0, left + ANCHOR - DEPTH)
     count = np.maximum(0, np.minimum(left, size - DEPTH) - low + 1)
     entry = np.repeat(np.arange(len(size)), count)
     number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     s = start[entry] + low[entry] + number
-    window = mix((sums[s + DEPTH] - sums[s]) * powers(_PINV, len(sums))[s])
-    order = np.lexsort((doc[entry], window))
-    w, d = window[order], doc[entry[order]]
-    new = np.ones(len(w), bool)
-    new[1:] = w[1:] != w[:-1]
-    hit = np.zeros(len(w), bool)
-    hit[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(w) else hit
+    live, group = _equal(data, s)
+    least = np.full(len(s), _LAST)
+    np.minimum.at(least, group, doc[entry[live]])
+    hit = np.zeros(len(s), bool)
+    hit[live] = doc[entry[live]] > least[group]
     mask = np.zeros(len(size), np.uint64)
     np.bitwise_or.at(mask, entry[hit], _U(1) << number[hit].astype(np.uint64))
     out, at = [], 0

@@ -151,6 +151,26 @@ def plain_repeats(docs):
     return out
 
 
+def test_equal_windows_are_equal_bytes():
+    """An alphabet of three letters, and windows that differ in their last byte only."""
+    rng = random.Random(4)
+    for _ in range(30):
+        text = "".join(rng.choice("abc") for _ in range(400))
+        text += text[10:90] + "x" + text[10:59] + "y" + text[200:250]
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts = np.array(sorted(rng.sample(range(len(text) - 49), 300)))
+        live, group = repeats._equal(data, starts)
+        got: dict[int, set] = {}
+        for i, g in zip(live.tolist(), group.tolist(), strict=True):
+            got.setdefault(g, set()).add(i)
+        want: dict[str, set] = {}
+        for i, a in enumerate(starts.tolist()):
+            want.setdefault(text[a : a + 50], set()).add(i)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+    live, group = repeats._equal(np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    assert not len(live) and not len(group)
+
+
 def test_repeats(spark, monkeypatch):
     docs = corpus(random.Random(6), 120) + [x for x in ODD if x[0] != 906] + [(950, "x" * 300), (None, corpus(random.Random(6), 120)[10][1]), (951, "é" * 40), (952, "aé" * 40 + "é" * 40), (953, "y" * 49)]
     df = spark.createDataFrame([(*d, 1) for d in docs], f"{SCHEMA}, n_bytes int").repartition(3)
