@@ -168,15 +168,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     if len(_power.get(base, ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        kept = n <= 1 << 21  # of much text at once the table is large, and soon made again
+        size = 1 << max(16, (n - 1).bit_length()) if kept else n
         out = np.ones(size, np.uint64)
         done = 1
         while done < size:
-            out[done : 2 * done] = out[:done] * _U(pow(base, done, 1 << 64))
-            done *= 2
+            step = min(done, size - done)
+            out[done : done + step] = out[:step] * _U(pow(base, done, 1 << 64))
+            done += step
+        if not kept:
+            return out
         _power[base] = out
-        if size > 1 << 23:  # one huge text: don't keep its table
-            return _power.pop(base)[:n]
     return _power[base][:n]
 
 

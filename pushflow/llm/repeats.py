@@ -52,12 +52,14 @@ class Places:
         n = len(self.data)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + _U(1)) * powers(_P, n + 1)[:n], out=self.sums[1:])
+        self.inverse = powers(_PINV, n + 1)
         at = self._named()
         doc = np.searchsorted(self.offsets, at, "right") - 1
         left = np.maximum(self.offsets[doc], at - (DEPTH - ANCHOR))
         right = np.minimum(self.offsets[doc + 1], at + DEPTH)
         gram = mix(self._hash(at, at + ANCHOR) + _U(1))  # named grams have small hashes: spread them again
         around = self._hash(left, right) ^ mix((at - left).astype(np.uint64) + _U(1))
+        del self.sums, self.inverse
         bucket = ((gram >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
         # places of one surrounding together, its smallest doc_id first
         order = np.lexsort((self.ids[doc], around, gram, bucket))
@@ -71,7 +73,7 @@ class Places:
         self.starts = np.searchsorted(self.bucket, np.arange(buckets + 1))
 
     def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * powers(_PINV, len(self.sums))[a] + (b - a).astype(np.uint64))
+        return mix((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64))
 
     def _named(self) -> np.ndarray:
         """Places of the grams that the windows name."""
@@ -81,7 +83,7 @@ class Places:
         grams = n - ANCHOR + 1
         low = max(24, n.bit_length())  # the place stands in the low bits, so that ties go to the left
         key = self.sums[ANCHOR:] - self.sums[:-ANCHOR]
-        key *= powers(_PINV, n + 1)[:grams]
+        key *= self.inverse[:grams]
         key *= _U(0xD6E8FEB86659FD93)
         key ^= key >> _U(32)
         key *= _U(0xD6E8FEB86659FD93)
