@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import random
 import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +104,38 @@ def test_long_lanes(spark):
     assert time.monotonic() - began < 60
 
 
+def plain_starts(jobs, most):
+    """From moment to moment: what has ended leaves, what has come in waits, and the best of those that wait start."""
+    todo, waiting, busy, out, now = sorted(jobs), [], [], {}, None
+    while todo or waiting:
+        moments = [end for end in busy if now is None or end > now] + ([todo[0][0]] if todo else [])
+        now = min(moments)
+        busy = [end for end in busy if end > now]
+        while todo and todo[0][0] <= now:
+            waiting.append(todo.pop(0))
+        waiting.sort(key=lambda j: (-j[1], j[2]))
+        while waiting and len(busy) < most:
+            _, _, message, service = waiting.pop(0)
+            out[message] = now
+            busy.append(now + service)
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 2, 5])
+def test_parallel_starts(spark, most):
+    rng = random.Random(most)
+    jobs = [(lane, rng.randint(0, 200), rng.randint(0, 3), 100 * n + lane, rng.randint(1, 30)) for n in range(60) for lane in range(3)]
+    df = spark.createDataFrame(jobs, "lane long, at_ms long, priority long, message_id long, service_ms long")
+    want = [(lane, m, at) for lane in range(3) for m, at in plain_starts([j[1:] for j in jobs if j[0] == lane], most).items()]
+    assert rows(lanes.parallel_starts(df, "lane", most)) == sorted(want)
+
+
+def test_checksums(spark):
+    texts = ["", "a", "schlüssel", "x" * 10_000]
+    got = spark.createDataFrame([(t,) for t in texts], "payload string").select(F.crc32(F.col("payload").cast("binary")).alias("crc")).collect()
+    assert [r.crc for r in got] == [zlib.crc32(t.encode()) for t in texts]
+
+
 def test_upsert_by_id_or_name(spark):
     kind = "tenant_id string, id long, name string, updated_at_ms long"
     stored = spark.createDataFrame([("t", 1, "a", 5), ("t", 2, "b", 9), ("u", 3, "c", 5)], kind)
