@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Rows of a batch that goes to Python: rows may be as long as documents, and both sides hold some batches.
+BATCH_ROWS = 1_000
 #: A-Z to a-z and nothing else, as SQL translate() arguments.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words.
@@ -26,6 +28,10 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's; the session's Arrow batches get BATCH_ROWS rows at most from then on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

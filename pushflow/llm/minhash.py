@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pushflow.llm.common import maybe_broadcast, mix, saved, shingles, slices
+from pushflow.llm.common import maybe_broadcast, mix, saved, shingles, slices, trim
 from pushflow.llm.components import components
 
 _U, _W = np.uint64, np.uint32
@@ -85,6 +85,7 @@ def _sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(counts, pa.int64()), pa.array(set_keys(values, counts).view(np.int64), mask=~has), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band.ravel().view(np.int64)))],
                 names=["doc_id", "row", "n_shingles", "key", "bands"],
             )
+        trim()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(work, "doc_id long, row long, n_shingles long, key long, bands array<long>")
 
@@ -98,6 +99,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(counts)]) * 8
             raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(set_keys(values, counts).view(np.int64)), raw], names=["key", "shingles"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(work, "key long, shingles binary")
 

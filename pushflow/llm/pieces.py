@@ -44,7 +44,7 @@ SPACE = "▁"
 #: Characters of a word that the fold's state has room for: bits 0 to 62 are boundaries.
 LONG = 60
 #: Bytes of text in a block: the more, the fewer words are asked for twice.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 #: Words whose edges one task groups in memory.
 FOLDED = 1 << 14
 

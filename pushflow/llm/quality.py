@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pushflow.llm.common import maybe_broadcast, saved, slices, utf8
+from pushflow.llm.common import maybe_broadcast, saved, slices, trim, utf8
 
 #: Labelled documents that the model is fitted on, at most.
 FIT_ROWS = 20_000
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     sample = saved(_labelled(docs, labels, most), "labelled")
 
     def count(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             seen: Counter = Counter()
             bad: Counter = Counter()
             toxic: Counter = Counter()
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     told = {bytes(r.word) for r in chosen}
 
     def surround(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             pairs = set()
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not y and text:
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     words = {bytes(r.word): float(np.log((r.bad + 0.5) / (r.n - r.bad + 0.5)) - np.log(rate / (1 - rate))) for r in chosen if bytes(r.word) in varied}
 
     def measure(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             shape, told, _ = features(batch.column(0), words)
             yield pa.RecordBatch.from_arrays([pa.array(list(np.column_stack([shape, told, batch.column(1).to_numpy(zero_copy_only=False)])), pa.list_(pa.float64()))], names=["x"])
 
@@ -165,9 +165,10 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
     place = docs.columns.index("text")
 
     def work(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             shape, told, _ = features(batch.column(place), model.words)
             yield batch.append_column("__evidence", pa.array(model.log_odds(shape, told), pa.float64()))
+        trim()
 
     return docs.mapInArrow(work, docs.withColumn("__evidence", F.lit(0.0)).schema)
 

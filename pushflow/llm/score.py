@@ -11,7 +11,7 @@ found once for the corpus and sent back to the blocks that have it, with the cou
 needs; there the texts are scored.
 
 Cases: a null or empty text has the end token only; without training documents the base gives each
-token probability 1 and the model half a bit's worth to each bit; a null doc_id is not held out;
+token probability 1 and the model one half to each bit; a null doc_id is not held out;
 rows that repeat a doc_id are scored each.
 """
 

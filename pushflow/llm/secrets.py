@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pushflow.llm.automaton import Automaton, compile_rules, scan
-from pushflow.llm.common import slices, utf8
+from pushflow.llm.common import slices, trim, utf8
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,7 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     """One row per row of docs(doc_id, text): base counts, number of added spans, digest and spans."""
 
     def work(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             found = find_batch(batch.column(1), rules)
             rows = []
             for i in range(batch.num_rows):
@@ -127,7 +127,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     place = docs.columns.index("text")
 
     def work(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             found = find_batch(batch.column(place), rules)
             if found:
                 texts = batch.column(place).to_pylist()
@@ -140,5 +140,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     texts[i] = "".join([*out, texts[i][last:]])
                 batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
             yield batch
+        trim()
 
     return docs.mapInArrow(work, docs.schema)

@@ -69,12 +69,15 @@ def words_of(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def spans_of(words: pa.Array, spans: int) -> np.ndarray:
-    """The span of each word, by its bytes."""
-    data, lengths = parts_of(words)
-    ends = np.cumsum(lengths, dtype=np.int64)
-    hashed = span_hashes(data, ends - lengths, ends)
-    return ((hashed >> np.uint64(32)) * np.uint64(spans) >> np.uint64(32)).astype(np.int32)
+def spans_of(words: pa.Array, spans: int, few: int = 1 << 15) -> np.ndarray:
+    """The span of each word, by its bytes; some words at a time, as their hashing takes many times their size."""
+    out = np.empty(len(words), np.int32)
+    for i in range(0, len(words), few):
+        data, lengths = parts_of(words.slice(i, few))
+        ends = np.cumsum(lengths, dtype=np.int64)
+        hashed = span_hashes(data, ends - lengths, ends)
+        out[i : i + few] = (hashed >> np.uint64(32)) * np.uint64(spans) >> np.uint64(32)
+    return out
 
 
 def dealt(words: pa.Array, spans: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
