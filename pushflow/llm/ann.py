@@ -233,6 +233,7 @@ def fitted_probes(classes: DataFrame, queries: DataFrame, axes: int, tables: int
     kind = classes.schema["vector"].dataType.simpleString()
 
     def work(batches):
+        held: dict[int, pa.RecordBatch] = {}  # of each query the nearest so far
         for batch in batches:
             for at, vectors in _vectors(batch.column(2)):
                 part = batch.take(pa.array(at))
@@ -241,7 +242,10 @@ def fitted_probes(classes: DataFrame, queries: DataFrame, axes: int, tables: int
                     if len(q) == vectors.shape[1]:
                         near, distance = _best(q, vectors, first, TOP + 1)
                         rows = part.take(pa.array(near))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), cls)), rows.column(0), rows.column(1), pa.array(distance), rows.column(2)], names=["query", "cls", "first", "score", "vector"])
+                        new = pa.RecordBatch.from_arrays([pa.array(np.full(len(near), cls)), rows.column(0), rows.column(1), pa.array(distance), rows.column(2)], names=["query", "cls", "first", "score", "vector"])
+                        both = pa.Table.from_batches([held[cls], new] if cls in held else [new])
+                        held[cls] = both.sort_by([("score", "ascending"), ("first", "ascending"), ("cls", "ascending")]).slice(0, TOP + 1).combine_chunks().to_batches()[0]
+        yield from held.values()
 
     true = _top(classes.select("cls", "first", "vector").mapInArrow(work, f"{MATCHES}, vector {kind}")).where("query <> cls").collect()
     at, ranks = dict(own), []
