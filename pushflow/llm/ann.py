@@ -248,9 +248,11 @@ def fitted_probes(classes: DataFrame, queries: DataFrame, axes: int, tables: int
         yield from held.values()
 
     true = _top(classes.select("cls", "first", "vector").mapInArrow(work, f"{MATCHES}, vector {kind}")).where("query <> cls").collect()
-    at, ranks = dict(own), []
+    at, ranks, near = dict(own), [], {}
+    for r in true:
+        near.setdefault(r["query"], []).append(np.asarray(r.vector, np.float64))
     for t in range(tables):
-        ranks.append([place_of(at[r["query"]], bucket_of(np.asarray(r.vector, np.float64)[None], t, axes), t, axes)[0] for r in true])
+        ranks.append(np.concatenate([np.zeros(0, np.int64), *(place_of(at[q], bucket_of(np.stack(x), t, axes), t, axes) for q, x in near.items())]))
     best = np.sort(np.min(np.array(ranks), axis=0)) if true else np.zeros(1)
     return int(best[min(len(best) - 1, int(np.ceil(TARGET * len(best))) - 1)]) + 1
 
