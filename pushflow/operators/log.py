@@ -107,17 +107,18 @@ def no_destination(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("url", F.lit("")) == "")
 
 
-def backfill(log: DataFrame, cursors: DataFrame, topics: DataFrame, most: int = 50_000) -> DataFrame:
+def backfill(log: DataFrame, cursors: DataFrame, topics: DataFrame, most: int | None = 50_000) -> DataFrame:
     """log(topic, partition, log_offset, url, owner, ..): what a restart puts back into the lanes.
 
     Of each queue's topic and the direct one, but no dead-letter topic, the first `most` records
-    are listed; of these, records with a url at or behind their owner's cursor are taken.
+    are listed, or all for None; of these, records with a url at or behind their owner's cursor are taken.
     """
     own = topics.select("topic").union(topics.sparkSession.range(1).select(F.lit(S.DIRECT))).distinct()
     listed = log.where(~S.is_dlq(F.col("topic"))).join(own, "topic", "left_semi")
-    order = Window.partitionBy("topic").orderBy("partition", "log_offset")
-    first = listed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
-    rows = first.join(cursors, ["owner", "partition"], "left").where(F.col("log_offset") >= F.coalesce("cursor", F.lit(0)))
+    if most is not None:
+        order = Window.partitionBy("topic").orderBy("partition", "log_offset")
+        listed = listed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+    rows = listed.join(cursors, ["owner", "partition"], "left").where(F.col("log_offset") >= F.coalesce("cursor", F.lit(0)))
     return rows.where(F.coalesce("url", F.lit("")) != "").drop("cursor")
 
 

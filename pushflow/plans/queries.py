@@ -409,7 +409,7 @@ _query("cap_backfill", f"{_DIRECT_LOG} SELECT topic, count(*) AS n FROM listed W
     lambda spark, d: log.backfill(_direct_log(spark, d), _standing(spark, d), T.queues(spark, d), 300).groupBy("topic").agg(F.count("*").alias("n"))
 )
 _query("leader_failover_backfill", f"{_DIRECT_LOG} SELECT message_id FROM listed WHERE partition = 2 AND message_id % 11 <> 0 AND message_id % 13 <> 0 AND (topic = '__direct' OR log_offset >= 20)")(
-    lambda spark, d: log.backfill(_direct_log(spark, d).join(F.broadcast(spark.range(2, 3).withColumnRenamed("id", "partition")), "partition", "left_semi"), _standing(spark, d), T.queues(spark, d)).select("message_id")
+    lambda spark, d: log.backfill(_direct_log(spark, d).join(F.broadcast(spark.range(2, 3).withColumnRenamed("id", "partition")), "partition", "left_semi"), _standing(spark, d), T.queues(spark, d), None).select("message_id")
 )
 
 
