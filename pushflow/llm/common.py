@@ -119,6 +119,17 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
+def rest(spark: SparkSession) -> None:
+    """The executors give heap that nothing holds any more back to the system, by a full collection on each.
+
+    A heap grows up to its limit over the steps of a long job and keeps what it has, beside which the
+    Python workers of a later step need theirs. A task for each core reaches every idle executor.
+    """
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    collect = F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, tasks, 1, tasks).select(collect.alias("done")).write.format("noop").mode("overwrite").save()
+
+
 try:
     _libc = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 import duckdb
 import pytest
 
-from pushflow.llm import queries
+import corpus_pipeline
+from pushflow.llm import common, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -29,3 +31,24 @@ def test_query(spark, name):
 def test_native_query_has_no_python(spark):
     plan = queries.op6_decontaminate(spark, DATA)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_stages_begin_with_heaps_given_back(spark, monkeypatch):
+    """What the stages before have left in the executors' heaps goes before a stage's own work starts."""
+    left = spark._jvm.java.lang.Object()  # a local session's executor has the driver's heap
+    seen = spark._jvm.java.lang.ref.WeakReference(left)
+    del left
+    gc.collect()
+    common.rest(spark)
+    assert seen.get() is None
+
+    class Rested(Exception):
+        pass
+
+    def rest(_):
+        raise Rested
+
+    monkeypatch.setattr(corpus_pipeline, "rest", rest)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Rested):
+            stage(spark, None, DATA)
